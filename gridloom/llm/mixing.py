@@ -38,7 +38,7 @@ def uniform(doc_id: Column, seed: str) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], multiple: int) -> DataFrame:
-    """One row per source (src, source_size) with its target; the windows see one row per source."""
+    """One row per source (grp, source_size) with its target; the windows see one row per source."""
     in_order = Window.orderBy(F.col("src").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), ((F.row_number().over(in_order) - 1) % len(weights) + 1).cast("int"))
     s = sizes.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(int(multiple)))
@@ -54,7 +54,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], multiple: int) -> D
     # The first source, by ratio, that stays below its cap sets the level for all that follow.
     first = F.min(F.when(F.col("fits"), F.struct((F.col("cap") / F.col("weight")).alias("r"), "capped", "level"))).over(whole)
     return s.withColumn("final", first["level"]).select(
-        "src", "source_size", F.least(F.col("cap").cast("double"), F.col("final") * F.col("weight")).alias("target")
+        "grp", "source_size", F.least(F.col("cap").cast("double"), F.col("final") * F.col("weight")).alias("target")
     )
 
 
@@ -75,22 +75,22 @@ def mix_sources(
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.regexp_count(text, F.lit(WORD)).cast("long")
-    d = docs.select(F.col(id_col).alias("__id"), F.col("source").alias("src"), text.alias("__t"), size.alias("size"), *[F.col(c).alias(f"__c_{c}") for c in carry])
+    # The join and the window share one partitioning, so rows move once; the key is never null.
+    group = F.concat(F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.lit("1")), F.coalesce(F.col("source"), F.lit("")))
+    d = docs.select(F.col(id_col).alias("__id"), F.col("source").alias("src"), group.alias("grp"), text.alias("__t"), size.alias("size"), *[F.col(c).alias(f"__c_{c}") for c in carry])
     weight = quality(F.col("__t"), F.col("size"))
     d = (
         d.withColumn("key", -F.log(uniform(F.col("__id"), seed)) / weight)
         .withColumn("slice", F.floor(F.lit(float(buckets)) * (F.lit(1.0) - F.exp(-F.col("key") * F.lit(0.6)))).cast("int"))
         .drop("__t")
     )
-    sums = d.groupBy("src", "slice").agg(F.sum("size").alias("slice_size"))
-    targets = source_targets(sums.groupBy("src").agg(F.sum("slice_size").alias("source_size")), weights, multiple)
-    before = Window.partitionBy("src").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = d.groupBy("src", "grp", "slice").agg(F.sum("size").alias("slice_size"))
+    targets = source_targets(sums.groupBy("src", "grp").agg(F.sum("slice_size").alias("source_size")), weights, multiple)
+    before = Window.partitionBy("grp").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("offset", F.coalesce(F.sum("slice_size").over(before), F.lit(0)))
-    plan = offsets.join(targets.withColumnRenamed("src", "tsrc"), F.col("src").eqNullSafe(F.col("tsrc"))).select(
-        F.col("src").alias("psrc"), F.col("slice").alias("pslice"), "offset", "source_size", "target"
-    )
-    joined = d.join(plan, d["src"].eqNullSafe(plan["psrc"]) & (d["slice"] == plan["pslice"]))
-    inside = Window.partitionBy("src", "slice").orderBy("key", "__id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    plan = offsets.join(targets, "grp").select("grp", "slice", "offset", "source_size", "target")
+    joined = d.join(plan, ["grp", "slice"])
+    inside = Window.partitionBy("grp", "slice").orderBy("key", "__id", "size").rowsBetween(Window.unboundedPreceding, -1)
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.when(F.col("full") >= multiple, F.lit(0.0)).otherwise(F.col("target") - F.col("full") * F.col("source_size"))
     start = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))

@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .html_extract import extract_pages
 from .language import fit_language, predict_language
+from .line_templates import drop_recurring_lines
 from .mixing import mix_sources
+from .ngram_join import similar_documents
 from .packing import pack_documents
+from .paragraph_dedup import dedup_paragraphs
+from .topk import top_inner_products
 from .toxicity import fit_toxicity, score_toxicity
 
 
@@ -26,10 +31,22 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", _held_out(), "score", "predicted")
 
 
+def op2_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_paragraphs(_table(spark, sf_dir, "documents"))
+
+
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,18 +57,32 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).drop("epochs")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = drop_recurring_lines(_table(spark, sf_dir, "documents"))
+    return left.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", "text")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = fit_language(docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
     return predict_language(docs, model).select("doc_id", _held_out(), "lang_pred", "score", "rejected")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_paragraph_dedup": op2_paragraph_dedup,
+    "op3_html_extract": op3_html_extract,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_topk": op5_topk,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
+    "op8_line_dedup": op8_line_dedup,
     "op9_language": op9_language,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 _OP4 = """
@@ -101,4 +132,19 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
-SQL = {"op4_exact_dedup": _OP4, "op7_mixing": _OP7}
+_OP5 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
+), p AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), z -> z[1] * z[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p
+) WHERE rank <= 5
+"""
+
+SQL = {"op5_topk": _OP5, "op4_exact_dedup": _OP4, "op7_mixing": _OP7}
