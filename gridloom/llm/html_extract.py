@@ -256,8 +256,8 @@ def induce(pages: list[str]) -> str | None:
     whole = weight(base)
     node, content = base, None
     while whole:
-        # The deepest element that all pages share and that still holds most of the varying text.
-        below = [x for x in node.elements() if matched[id(x)] == len(trees) - 1 and x.tag in BLOCKS and varying[id(x)] >= 0.7 * whole]
+        # The deepest element with blocks of its own that all pages share and that holds most of the varying text.
+        below = [x for x in node.elements() if matched[id(x)] == len(trees) - 1 and varying[id(x)] >= 0.7 * whole and any(c.tag in BLOCKS for c in x.elements())]
         if not below:
             break
         node = below[0]
