@@ -20,6 +20,7 @@ import bisect
 import math
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: What a worker process keeps of pre-tokens it has encoded.
-CACHE_PRETOKENS = 400_000
+#: Encoded pre-tokens that a worker process keeps: two generations of this many.
+CACHE_PRETOKENS = 600_000
 _loaded: dict[str, Encoder] = {}
 
 
@@ -49,23 +50,37 @@ class Encoder:
         self.pattern = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         if any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         words = self.pattern.findall(text)
-        cache = self.cache
-        missing = [w for w in set(words) if w not in cache]
-        if missing:
-            if len(cache) + len(missing) > CACHE_PRETOKENS:
-                cache.clear()
-                missing = list(set(words))
-            for lo in range(0, len(missing), 10_000):
-                part = missing[lo : lo + 10_000]
-                for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                    cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(cache.__getitem__, words))
+        found = list(map(self.cache.get, words))
+        if None in found:
+            self._learn({w for w, f in zip(words, found, strict=True) if f is None})
+            found = map(self.cache.__getitem__, words)
+        return b"".join(found)
+
+    def _learn(self, missing: set[str]) -> None:
+        """Pre-tokens of the older generation move up; the others are encoded."""
+        fresh = []
+        for w in missing:
+            held = self.older.get(w)
+            if held is None:
+                fresh.append(w)
+            else:
+                self.cache[w] = held
+        for lo in range(0, len(fresh), 10_000):
+            part = fresh[lo : lo + 10_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.cache[w] = array("I", e.ids).tobytes()
+
+    def age(self) -> None:
+        """Between texts: a full generation becomes the older one."""
+        if len(self.cache) > CACHE_PRETOKENS:
+            self.older, self.cache = self.cache, {}
 
 
 def encoder(path: str) -> Encoder:
@@ -215,11 +230,12 @@ def _pieces(tokenizer_path: str, end_id: int, capacity: int, groups: int):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path).encode
+        coder = encoder(tokenizer_path)
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + end
+                coder.age()
+                ids = coder.encode(text.as_py() or "") + end
                 n = len(ids) // 4
                 first = n % capacity or capacity
                 group = zlib.crc32(f"{doc_id}:{zlib.crc32(ids)}".encode()) % groups
