@@ -255,7 +255,8 @@ def fit_toxicity(
     d = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.col("i").isNotNull() & (part != 0))
     y = labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).where("y is not null and i is not null").where(part != 0)
     y = y.groupBy("i").agg(F.max((F.col("y") > 0).cast("int")).alias("y"))
-    rows = d.join(y, "i").select("text", "y", "i")
+    # Labels grow with the corpus, so the join is planned for that at every size.
+    rows = d.join(y.hint("merge"), "i").select("text", "y", "i")
     counted = rows.where(part != 4).select("text", "y").mapInArrow(_class_grams(flush_words), "gram string, c0 long, c1 long")
     grams = counted.groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).persist()
     try:
