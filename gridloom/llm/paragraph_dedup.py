@@ -132,7 +132,7 @@ def dedup_paragraphs(
 
     def payload(need: DataFrame) -> DataFrame:
         chosen = stage.table(need.groupBy("rep").agg(F.collect_set("node").alias("wanted")))
-        joined = d.join(chosen, d["id"].eqNullSafe(chosen["rep"])).select("text", "wanted")
+        joined = d.join(chosen.hint("merge"), d["id"].eqNullSafe(chosen["rep"])).select("text", "wanted")
         return joined.mapInArrow(_wanted_sets(shingle, min_words), "node long, shingles binary")
 
     links = verified_links(nodes.select("node", "rep", "size", "keys"), payload, threshold, stage)
@@ -147,5 +147,5 @@ def dedup_paragraphs(
         .groupBy(F.col("place.id").alias("gid"))
         .agg(F.collect_list(F.struct(F.col("place.par").alias("par"), F.col("first.id").alias("keep"))).alias("gone"))
     )
-    marked = d.join(gone, d["id"].eqNullSafe(gone["gid"]), "left").select("text", "id", "gone")
+    marked = d.join(gone.hint("merge"), d["id"].eqNullSafe(gone["gid"]), "left").select("text", "id", "gone")
     return marked.mapInArrow(_strip(min_words), "doc_id long, n_paragraphs int, n_removed int, kept_in array<long>, text string")
