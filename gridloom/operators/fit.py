@@ -17,7 +17,7 @@ from ..grid import Dim, Grid, as_coordinates, col, tag
 from .compute import require_certain
 from .interpolate import check_degree
 from .kernels import polynomial
-from .linear import apply_weights
+from .linear import apply_weights, pandas_cells
 
 
 def _closed_form(x: Column, y: Column, deg: int, shift: float, scale: float) -> list[Column]:
@@ -90,7 +90,7 @@ def fitmodel(grid: Grid, along: str, deg: int) -> Grid:
                     made[tag(v)] = -1 if (t < 0).any() else int((t > 0).any())
             return made[[f.name for f in fields]]
 
-        cells = (grid.cells.groupBy(*map(col, rest)) if rest else grid.cells.groupBy(F.lit("line"))).applyInPandas(run, T.StructType(fields))
+        cells = pandas_cells(grid.cells.groupBy(*map(col, rest)) if rest else grid.cells.groupBy(F.lit("line")), run, fields)
     dims = tuple(Dim(name, labels, None, f"polynomial in {along}, fitted from {x.min():.17g} to {x.max():.17g}") if c.name == along else c for c in grid.dims)
     vars_ = {v: replace(s, unit=None, fitted=((name, along, float(x.min()), float(x.max())),) + tuple(s.fitted or ())) for v, s in grid.vars.items()}
     out = replace(grid, dims=dims, vars=vars_, correlation={}, axes=grid.axes.without(set(grid.vars)), roots={}, dense=grid.dense or not rest)

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..errors import DegreeError, DimensionError, GridError, VariableError
 from ..functions import numeric as n
 from ..grid import Dim, Grid, as_coordinates, col, no_default, tag, u_rand, u_sys
-from .linear import apply_weights, cubic_weights, linear_weights, nearest_weights, polynomial_weights
+from .linear import apply_weights, cubic_weights, linear_weights, nearest_weights, pandas_cells, polynomial_weights
 
 METHODS = ("linear", "cubic", "nearest", "polyfit")
 
@@ -157,7 +157,7 @@ def _translate(grid: Grid, mapping: Mapping[str, object] | None, method: str, de
         return made[[f.name for f in fields]]
 
     grouped = grid.cells.groupBy(*map(col, rest)) if rest else grid.cells.groupBy(F.lit("line"))
-    return replace(out, cells=grouped.applyInPandas(run, T.StructType(fields)).select(*map(col, out.dim_names), *map(col, wanted)))
+    return replace(out, cells=pandas_cells(grouped, run, fields).select(*map(col, out.dim_names), *map(col, wanted)))
 
 
 def _segments(grid: Grid, out: Grid, name: str, to: str, others: list[str], rest: list[str]):

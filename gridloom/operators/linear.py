@@ -113,6 +113,12 @@ def apply_weights(grid: Grid, name: str, target: Dim, weights: np.ndarray, targe
     return replace(out, cells=cells.select(*map(col, out.dim_names), *map(col, out.columns())))
 
 
+def pandas_cells(grouped, run, fields: Sequence[T.StructField]):
+    """applyInPandas whose NaN, which come back as NULL, are NaN again."""
+    made = grouped.applyInPandas(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in fields]))
+    return made.select(*[n.or_nan(col(f.name)).alias(f.name) if f.dataType == T.DoubleType() else col(f.name) for f in fields])
+
+
 def per_line(grid: Grid, name: str, variables: Sequence[str], kernel, extra: Sequence[str] = ()) -> Grid:
     """Kernels that no aggregate expresses: one task call per line, whose length the driver knows.
 
@@ -136,4 +142,4 @@ def per_line(grid: Grid, name: str, variables: Sequence[str], kernel, extra: Seq
 
     cells = dense.cells.select(*map(col, order))
     grouped = cells.groupBy(*map(col, rest)) if rest else cells.groupBy(F.lit("line"))
-    return replace(dense, cells=grouped.applyInPandas(run, T.StructType(fields)))
+    return replace(dense, cells=pandas_cells(grouped, run, fields))

@@ -61,7 +61,7 @@ def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for i, record in enumerate(records, 1):
                 if not record:
                     continue
-                cells = record + [""] * (len(header) - len(record))
+                cells = record[: len(header)] + [""] * (len(header) - len(record))
                 numbers, good = [], []
                 for c in cells:
                     try:
