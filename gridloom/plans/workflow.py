@@ -187,7 +187,7 @@ class EquationProcessor:
         if report is not None:
             raise WorkflowError("report", "reports are not written", "Leave it out")
         self.validate(grid)
-        signed = any((e.comment or "").split(":")[0] == self.signature for e in grid.history)
+        signed = any(e.comment == self.signature or (e.comment or "").startswith(f"{self.signature}: ") for e in grid.history)
         if all(t in grid.vars for t in self.targets):
             if signed and not (force or self.idempotent):
                 raise WorkflowError(self.signature, "was applied to this grid", "Pass force=True to apply it again")

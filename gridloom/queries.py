@@ -662,7 +662,7 @@ def translate_moments(spark, sf):
 @query("SELECT p_partkey, round(p_size * 0.0254 / 0.3048, 6) AS feet, round((p_size - 32.0) * 5.0 / 9.0, 6) AS degc FROM part")
 def unit_convert(spark, sf):
     size = F.col("p_size").cast("double")
-    return _table(spark, sf, "part").select("p_partkey", F.round(convert(size, "in", "ft"), 6).alias("feet"), F.round(convert(size, "degF", "degC"), 6).alias("degc"))
+    return _table(spark, sf, "part").select("p_partkey", F.round(convert(size, "in", "ft"), 6).alias("feet"), F.round(convert(size, "F", "C"), 6).alias("degc"))
 
 
 _WORKFLOW = """

@@ -263,7 +263,7 @@ def test_extensions(grid):
 
 
 def test_units():
-    assert convert(1.0, "ft", "m") == 0.3048 and convert(212.0, "degF", "degC") == pytest.approx(100) and convert(180.0, "deg", "rad") == pytest.approx(math.pi)
+    assert convert(1.0, "ft", "m") == 0.3048 and convert(212.0, "F", "C") == pytest.approx(100) and convert(180.0, "deg", "rad") == pytest.approx(math.pi)
     with pytest.raises(er.DataError):
         convert(1.0, "m", "s")
 
