@@ -19,11 +19,12 @@ def declare_dims(grid: Grid, names: Sequence[str], string_ok: bool = True) -> Gr
     """
     kinds = dict(grid.cells.dtypes)
     keys = [col(x) for x in names]
-    bad = [F.max(F.coalesce(F.isnan(k) if kinds[x] == "double" else k.isNull(), F.lit(True)).cast("int")).alias(f"b{i}") for i, (x, k) in enumerate(zip(names, keys, strict=True))]
+    bad = [F.max((k.isNull() | F.isnan(k) if kinds[x] == "double" else k.isNull()).cast("int")).alias(f"b{i}") for i, (x, k) in enumerate(zip(names, keys, strict=True))]
+    signed = [F.max(((k == 0) & (F.pow(k, F.lit(-1.0)) < 0)).cast("int")).alias(f"z{i}") for i, (x, k) in enumerate(zip(names, keys, strict=True)) if kinds[x] == "double"]
     # Rows are first folded by their whole key; what is gathered is the coordinates of each dimension.
     folded = grid.cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
     found = folded.agg(
-        F.max(F.struct("__rows", *keys)).alias("most"), F.sum("__rows").alias("rows"), F.count(F.lit(1)).alias("cells"), *bad, *[F.collect_set(k).alias(f"c{i}") for i, k in enumerate(keys)]
+        F.max(F.struct("__rows", *keys)).alias("most"), F.sum("__rows").alias("rows"), F.count(F.lit(1)).alias("cells"), *bad, *signed, *[F.collect_set(k).alias(f"c{i}") for i, k in enumerate(keys)]
     ).first()
     if not found["rows"]:
         raise DataError(", ".join(names), "there are no rows to make a grid of", "Load a table with rows")
@@ -43,8 +44,8 @@ def declare_dims(grid: Grid, names: Sequence[str], string_ok: bool = True) -> Gr
         roots={k: v for k, v in grid.roots.items() if k in keep}, dense=found["cells"] == full,
     )
     cells = grid.cells
-    for x in names:
-        if kinds[x] == "double":  # -0.0 and 0.0 are one coordinate
+    for i, x in enumerate(names):
+        if kinds[x] == "double" and found[f"z{i}"]:  # -0.0 and 0.0 are one coordinate
             cells = cells.withColumn(x, col(x) + n.lit(0.0))
     return replace(out, cells=cells.select(*map(col, names), *map(col, out.columns())))
 

@@ -145,15 +145,20 @@ def _listed(spark: SparkSession, folder: str, pattern: str | None) -> list[str]:
 # ---------------------------------------------------------------------- load
 
 
-def from_dataframe(df: DataFrame, text: Sequence[str] = (), provenance: Provenance | None = None) -> Grid:
-    """Datapoints from a Spark table: numbers become doubles, NULL becomes NaN."""
+def from_dataframe(df: DataFrame, text: Sequence[str] = (), provenance: Provenance | None = None, keys: Sequence[str] = ()) -> Grid:
+    """Datapoints from a Spark table: numbers become doubles, NULL becomes NaN.
+
+    Columns that will be dimensions (``keys``) are checked for NULL when they are declared, and
+    stay bare here, so that filters on coordinates reach the scan.
+    """
     reject_repeated(df.columns, "table")
     columns, variables = [], {}
     for f in df.schema.fields:
         if isinstance(f.dataType, T.NumericType):
-            value = n.or_nan(col(f.name).cast("double"))
+            value = col(f.name) if isinstance(f.dataType, T.DoubleType) else col(f.name).cast("double")
+            value = value if f.name in keys else n.or_nan(value)
         elif isinstance(f.dataType, T.StringType):
-            value = F.coalesce(col(f.name), F.lit(""))
+            value = col(f.name) if f.name in keys else F.coalesce(col(f.name), F.lit(""))
         else:
             raise DataError(f.name, f"is of type {f.dataType.simpleString()}", "Project it to a number or a string before")
         columns.append(value.alias(f.name))
@@ -256,7 +261,9 @@ def load(
             raise DataError(path, "is neither a CSV file, nor a folder of them, nor Parquet", "Read it with Spark and pass the DataFrame")
     else:
         raise DataError(type(source).__name__, "cannot be loaded", "Pass a path, mapping, array, pandas or Spark DataFrame")
-    grid = from_dataframe(df, text, _provenance(names_of, digest, mode, user, version, coordinates))
+    if isinstance(dims, str):
+        dims = [dims]
+    grid = from_dataframe(df, text, _provenance(names_of, digest, mode, user, version, coordinates), dims or ())
     kinds = dict(grid.cells.dtypes)
     strings = [v for v in grid.vars if kinds[v] == "string" and v not in (dims or [])]
     if strings and (dims is not None or isinstance(source, np.ndarray)):
@@ -264,8 +271,6 @@ def load(
     if strings and not isinstance(source, DataFrame | pd.DataFrame):
         raise DataError(", ".join(strings), "hold text, which only dimensions can", "Pass dims=[...] with them or drop them")
     if dims is not None:
-        if isinstance(dims, str):
-            dims = [dims]
         absent = [d for d in dims if d not in grid.vars]
         if absent:
             raise DataError(", ".join(absent), "are not columns", "Columns are: " + ", ".join(grid.vars))

@@ -74,6 +74,17 @@ def test_other_sources(spark, tmp_path):
         gl.load(np.zeros((2, 2)))
 
 
+def test_filters_and_columns_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([(i, f"k{i % 3}", float(i), 2.0 * i) for i in range(9)], "a int, k string, v double, w double").write.parquet(f"{tmp_path}/t.parquet")
+    g = gl.load(f"{tmp_path}/t.parquet", dims=["a", "k"]).select({"a": [1, 4], "k": "k1"}).compute("z = v * 2")
+    plan = g.cells.select("a", "z")._jdf.queryExecution().executedPlan().toString()
+    assert "In(a, [1,4])" in plan and "EqualTo(k,k1)" in plan and "ReadSchema: struct<a:int,k:string,v:double>" in plan
+    zero = gl.load(spark.createDataFrame([(-0.0, 1.0), (1.0, 2.0)], "x double, v double"), dims=["x"])
+    assert zero.dim("x").coords == (0.0, 1.0) and zero.at(x=0).to_numpy()["v"].tolist() == [1.0]
+    with pytest.raises(er.DataError):
+        gl.load(spark.createDataFrame([(None, 1.0)], "x double, v double"), dims=["x"])
+
+
 @pytest.fixture(scope="module")
 def grid(spark):
     rows = [[m, a, 0.1 + m + a] for m in (0.1, 0.2) for a in (0.0, 2.0) if (m, a) != (0.2, 2.0)]
