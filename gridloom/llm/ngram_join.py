@@ -86,8 +86,9 @@ def similar_documents(
     nodes = stage.table(some.groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("keys").alias("keys")))
 
     def payload(need: DataFrame) -> DataFrame:
-        chosen = stage.table(need)  # its size is then known, and decides how it is joined
-        joined = d.join(chosen, d["id"].eqNullSafe(chosen["rep"])).select("text", "node")
+        # What is to verify grows with the corpus, so the join is planned for that at every size.
+        chosen = stage.table(need)
+        joined = d.join(chosen.hint("merge"), d["id"].eqNullSafe(chosen["rep"])).select("text", "node")
         return joined.mapInArrow(_wanted_sets(shingle), "node long, shingles binary")
 
     links = verified_links(nodes.select("node", "rep", "size", "keys"), payload, threshold, stage)
@@ -115,7 +116,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> Data
     gone = stage.table(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("gone_id")).distinct())
     ids = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("twice")).agg(F.count(F.lit(1)).alias("rows"))
     repeated = stage.table(ids.where("rows > 1").select("twice"))
-    left = docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+    left = docs.join(gone.hint("merge"), docs[id_col] == gone["gone_id"], "left_anti")
     if repeated.isEmpty():
         return left
     again = docs[id_col] == repeated["twice"]
