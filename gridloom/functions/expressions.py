@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..errors import EquationError
+from ..errors import EquationError, VariableError
 from . import numeric as n
 
 
@@ -149,7 +149,7 @@ def parse(text: str, variables: frozenset[str] | set[str]) -> Tree:
                     raise _refuse(text, f"{x.id} is both a constant and a variable")
                 return Num(CONSTANTS[x.id])
             if x.id not in variables:
-                raise EquationError(text, f"unknown name {x.id}", "Variables are: " + ", ".join(sorted(variables)))
+                raise VariableError(x.id, f"is not a variable, in {text!r}", "Variables are: " + ", ".join(sorted(variables)))
             return Ref(x.id)
         if isinstance(x, ast.BinOp) and type(x.op) in _BINARY:
             return Op(_BINARY[type(x.op)], (walk(x.left), walk(x.right)))

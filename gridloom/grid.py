@@ -50,10 +50,46 @@ class Dim:
     def numeric(self) -> bool:
         return self.coords is None or all(isinstance(x, int | float) for x in self.coords)
 
+    @property
+    def is_numeric(self) -> bool:
+        return self.numeric
+
     def __len__(self) -> int:
         return len(self.coords or ())
 
 
+class Correlations(dict):
+    """Declared coefficients by sorted pair; ``get(a, b)`` takes the names in any order."""
+
+    @property
+    def pairs(self) -> dict:
+        return dict(self)
+
+    def get(self, key, default=None):
+        if isinstance(key, str):
+            return super().get((min(key, default), max(key, default)))
+        return super().get(key, default)
+
+
+@dataclass(frozen=True)
+class Tags:
+    """Origin tags of the tagged variables, as arrays of the grid's shape."""
+
+    tags: Mapping
+
+
+@dataclass(frozen=True)
+class Uncertainty:
+    """Both components of standard uncertainty, as arrays of the grid's shape."""
+
+    systematic: Mapping
+    random: Mapping
+
+    def combined(self, name: str):
+        parts = [m[name] for m in (self.systematic, self.random) if name in m]
+        return sum(x * x for x in parts) ** 0.5
+
+
 @dataclass(frozen=True)
 class Var:
     """What is known of a variable besides its column."""
@@ -66,6 +102,17 @@ class Var:
     tagged: bool = False
     absent_tag: int = 0  # the tag of cells without a row
     fitted: tuple | None = None  # ranges of fitted dimensions, by coefficient dimension
+    of: Any = field(default=None, init=False, compare=False, repr=False)  # (grid, name)
+
+    @property
+    def values(self):
+        """The cells as an array of the grid's shape; this runs the plan."""
+        from .sources.export import _arrays
+
+        grid, name = self.of
+        out = _arrays(grid, [name])[name]
+        out.setflags(write=False)
+        return out
 
     @property
     def uncertain(self) -> bool:
@@ -120,7 +167,7 @@ class Grid:
     """An immutable labelled grid over a lazily evaluated DataFrame."""
 
     cells: DataFrame
-    dims: tuple[Dim, ...]
+    dimensions: tuple[Dim, ...]
     vars: Mapping[str, Var]
     provenance: Provenance
     history: History = field(default_factory=History)
@@ -135,13 +182,19 @@ class Grid:
     note: str = ""  # what the operation adds to its history entry
 
     def __post_init__(self) -> None:
-        names = [d.name for d in self.dims] + list(self.vars)
+        names = [d.name for d in self.dimensions] + list(self.vars)
         if len(set(names)) != len(names):
             raise DuplicateNameError(", ".join(sorted({x for x in names if names.count(x) > 1})), "named twice among dimensions and variables", "Rename one of them before loading")
         if self.axes is None:
             from .operators.geometry import Axes
 
             object.__setattr__(self, "axes", Axes())
+        bound = {}
+        for name, spec in self.vars.items():
+            bound[name] = replace(spec)
+            object.__setattr__(bound[name], "of", (self, name))
+        object.__setattr__(self, "vars", bound)
+        object.__setattr__(self, "correlation", Correlations(self.correlation))
 
     # ------------------------------------------------------------------ structure
 
@@ -149,27 +202,55 @@ class Grid:
     def spark(self) -> SparkSession:
         return self.cells.sparkSession
 
+    @property
+    def dims(self) -> dict[str, Dim]:
+        """Dimensions by name, in grid order."""
+        return {d.name: d for d in self.dimensions}
+
+    @property
+    def tags(self) -> Tags | None:
+        """Origin tags, or None where every value is original; this runs the plan."""
+        from .sources.export import _arrays
+
+        names = [v for v, s in self.vars.items() if s.tagged]
+        if not names:
+            return None
+        found = _arrays(self, [tag(v) for v in names])
+        return Tags({v: found[tag(v)].astype("int8") for v in names})
+
+    @property
+    def uncertainty(self) -> Uncertainty | None:
+        """Both components, or None where no variable has any; this runs the plan."""
+        from .sources.export import _arrays
+
+        sys = [v for v, s in self.vars.items() if s.sys]
+        rand = [v for v, s in self.vars.items() if s.rand]
+        if not sys and not rand:
+            return None
+        found = _arrays(self, [*map(u_sys, sys), *map(u_rand, rand)])
+        return Uncertainty({v: found[u_sys(v)] for v in sys}, {v: found[u_rand(v)] for v in rand})
+
     @property
     def is_datapoint(self) -> bool:
-        return len(self.dims) == 1 and self.dims[0].coords is None
+        return len(self.dimensions) == 1 and self.dimensions[0].coords is None
 
     @property
     def dim_names(self) -> list[str]:
-        return [d.name for d in self.dims if d.coords is not None]
+        return [d.name for d in self.dimensions if d.coords is not None]
 
     @property
     def shape(self) -> tuple[int, ...]:
-        return tuple(self.cells.count() if d.coords is None else len(d) for d in self.dims)
+        return tuple(self.cells.count() if d.coords is None else len(d) for d in self.dimensions)
 
     @property
     def uncertain(self) -> list[str]:
         return [v for v, s in self.vars.items() if s.uncertain]
 
     def dim(self, name: str, numeric: bool = False) -> Dim:
-        for d in self.dims:
+        for d in self.dimensions:
             if d.name == name and d.coords is not None:
                 if numeric and not d.numeric:
-                    raise NonNumericDimensionError(name, "its coordinates are strings", "Choose a numeric dimension: " + (", ".join(x.name for x in self.dims if x.coords is not None and x.numeric) or "there is none"))
+                    raise NonNumericDimensionError(name, "its coordinates are strings", "Choose a numeric dimension: " + (", ".join(x.name for x in self.dimensions if x.coords is not None and x.numeric) or "there is none"))
                 return d
         raise DimensionError(name, "is not a dimension with coordinates", "Dimensions are: " + (", ".join(self.dim_names) or "none; pivot the datapoints first"))
 
@@ -191,7 +272,7 @@ class Grid:
 
     def expected_cells(self) -> int | None:
         """Cells of the full grid; None for datapoints, which have no missing cells."""
-        return None if self.is_datapoint else math.prod(len(d) for d in self.dims)
+        return None if self.is_datapoint else math.prod(len(d) for d in self.dimensions)
 
     def coordinate_table(self, name: str) -> DataFrame:
         """(coordinate, ordinal) rows of a dimension, in grid order; its size is the dimension's."""

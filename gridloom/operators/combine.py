@@ -43,9 +43,9 @@ def combine(grid: Grid, other: Grid, op: str, weights: tuple[float, float] | Non
         raise CombineError("cross_correlation", f"{cross_correlation!r}", "Pass a number from -1 to 1")
     if grid.mode != other.mode:
         raise CombineError("mode", f"{grid.mode} and {other.mode}", "Promote or demote one of the grids")
-    if [d.name for d in grid.dims] != [d.name for d in other.dims]:
+    if [d.name for d in grid.dimensions] != [d.name for d in other.dimensions]:
         raise CombineError("dimensions", f"{grid.dim_names} and {other.dim_names}", "Grids need the same dimensions in the same order")
-    for a, b in zip(grid.dims, other.dims, strict=True):
+    for a, b in zip(grid.dimensions, other.dimensions, strict=True):
         if a.coords != b.coords:
             raise CombineError(a.name, "coordinates differ", "Interpolate or select to common coordinates")
         if a.unit != b.unit:

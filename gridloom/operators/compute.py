@@ -8,7 +8,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from ..errors import EquationError, UncertaintyError, UncertaintyLineageError
+from ..errors import DataError, EquationError, UncertaintyError, UncertaintyLineageError
 from ..functions import numeric as n
 from ..functions.expressions import REDUCTIONS, condition, derivative, emit, parse, reductions, references, value_at_missing
 from ..grid import Grid, Var, col, tag, u_rand, u_sys
@@ -59,13 +59,15 @@ def whole_grid_values(grid: Grid, trees: list) -> tuple[dict, object]:
 
 
 def compute(grid: Grid, equation: str, debug: bool, where: str | None, fill: float | None, method: str) -> Grid:
+    if method == "mcm":
+        raise UncertaintyError("mcm", "Monte Carlo propagation is not available", "Use 'symbolic'")
     if method != "symbolic":
-        raise EquationError(str(method), "unknown propagation method", "Use 'symbolic'")
+        raise DataError(str(method), "unknown propagation method", "Use 'symbolic'")
     target, text = split_equation(equation)
     if target in grid.dim_names:
         raise EquationError(target, "is a dimension", "Choose another name for the result")
-    if fill is None and where is not None and target not in grid.vars:
-        raise EquationError(target, "fill=None keeps old values, but there are none", "Pass a number or leave fill out")
+    if fill is None and target not in grid.vars:
+        fill = n.NAN  # there are no old values to keep
     tree = parse(text, set(grid.vars))
     used = [v for v in grid.vars if v in references(tree)]
     carriers = [v for v in used if grid.vars[v].uncertain]
@@ -102,7 +104,7 @@ def compute(grid: Grid, equation: str, debug: bool, where: str | None, fill: flo
         if keep:  # a component that only the old values have stays with them
             for flag, name in (("sys", u_sys), ("rand", u_rand)):
                 if getattr(old, flag) and not getattr(spec, flag):
-                    new[name(target)] = n.lit(0)
+                    new[name(target)] = n.nan()
                     spec = replace(spec, **{flag: True})
         kept_tag = grid.tag_column(target) if keep else F.lit(0).cast("byte")
         for c, expression in list(new.items()):
@@ -118,26 +120,33 @@ def compute(grid: Grid, equation: str, debug: bool, where: str | None, fill: flo
     if spec.uncertain:
         roots[target] = frozenset().union(*(grid.roots.get(v, frozenset()) for v in carriers), grid.roots.get(target, frozenset()) if fill is None and hit is not None else frozenset())
     store = {k: r for k, r in grid.correlation.items() if target not in k}
-    out = replace(work, vars=vars_, roots=roots, correlation=store, transferred=grid.transferred - {target})
+    dropped = "correlation=dropped" if len(store) < len(grid.correlation) else ""
+    out = replace(work, vars=vars_, roots=roots, correlation=store, transferred=grid.transferred - {target}, note=dropped)
     rest = [col(c) for c in [*out.dim_names, *out.columns([v for v in vars_ if v != target])]]
     made = cells.select(*rest, *[new[c].alias(c) for c in out.columns([target])])
     out = replace(out, cells=made.select(*map(col, out.dim_names), *map(col, out.columns())))
     if debug:
-        _report(grid, out, target, text, used)
+        _report(grid, out, target, text, used, partials)
     return out
 
 
-def _report(grid: Grid, out: Grid, target: str, text: str, used: list[str]) -> None:
-    """Print operands and result at the first cell."""
+def _report(grid: Grid, out: Grid, target: str, text: str, used: list[str], partials: dict) -> None:
+    """Print operands, partial derivatives and result at the first cell."""
     order = [out.ordinal(d) for d in out.dim_names]
     row = (out.cells.orderBy(*order) if order else out.cells).limit(1).first()
-    print(f"{target} = {text}")
+    print(f"compute debug: {target} = {text}")
+    print(f"  tokens: {', '.join(used) or 'none'}")
     if row is None:
         print("  no cell has a value")
         return
     for d in out.dim_names:
         print(f"  at {d} = {row[d]}")
-    for v in [*used, target]:
+    if partials and not any(reductions(p) for p in partials.values()):
+        known = {v: n.lit(row[v]) for v in used}
+        at = grid.spark.range(1).select(*[emit(p, known).alias(v) for v, p in partials.items()]).first()
+        for v in partials:
+            print(f"  partial by {v} = {at[v]}")
+    for v in [*used, *[target] * (target not in used)]:
         s = out.vars[v]
         parts = [f"u_{k} = {row[c]}" for k, c, has in (("sys", u_sys(v), s.sys), ("rand", u_rand(v), s.rand)) if has]
         print(f"  {v} = {row[v]}" + (", " + ", ".join(parts) if parts else ""))

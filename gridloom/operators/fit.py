@@ -91,9 +91,9 @@ def fitmodel(grid: Grid, along: str, deg: int) -> Grid:
             return made[[f.name for f in fields]]
 
         cells = pandas_cells(grid.cells.groupBy(*map(col, rest)) if rest else grid.cells.groupBy(F.lit("line")), run, fields)
-    dims = tuple(Dim(name, labels, None, f"polynomial in {along}, fitted from {x.min():.17g} to {x.max():.17g}") if c.name == along else c for c in grid.dims)
+    dims = tuple(Dim(name, labels, None, f"polynomial in {along}, fitted from {x.min():.17g} to {x.max():.17g}") if c.name == along else c for c in grid.dimensions)
     vars_ = {v: replace(s, unit=None, fitted=((name, along, float(x.min()), float(x.max())),) + tuple(s.fitted or ())) for v, s in grid.vars.items()}
-    out = replace(grid, dims=dims, vars=vars_, correlation={}, axes=grid.axes.without(set(grid.vars)), roots={}, dense=grid.dense or not rest)
+    out = replace(grid, dimensions=dims, vars=vars_, correlation={}, axes=grid.axes.without(set(grid.vars)), roots={}, dense=grid.dense or not rest)
     return replace(out, cells=cells.select(*map(col, out.dim_names), *map(col, out.columns())))
 
 

@@ -118,10 +118,11 @@ def _translate(grid: Grid, mapping: Mapping[str, object] | None, method: str, de
         targets = tuple(r[0] + 0.0 for r in first.orderBy(grid.ordinal(name)).select(col(to)).collect())
     others = [v for v in grid.vars if v != to]
     vars_ = {v: replace(grid.vars[v], tagged=True) for v in others}
-    dims = tuple(Dim(to, targets, spec.unit, spec.description) if x.name == name else x for x in grid.dims)
+    dims = tuple(Dim(to, targets, spec.unit, spec.description) if x.name == name else x for x in grid.dimensions)
     store = {k: r for k, r in grid.correlation.items() if to not in k}
-    out = replace(grid, dims=dims, vars=vars_, correlation=store, dense=True, roots={k: v for k, v in grid.roots.items() if k != to}, interpolated=(grid.interpolated - {name}) | {to}, axes=grid.axes.without({to}))
-    out = replace(out, note=f"uncertainty and correlations of {to} dropped" if spec.uncertain else "")
+    out = replace(grid, dimensions=dims, vars=vars_, correlation=store, dense=True, roots={k: v for k, v in grid.roots.items() if k != to}, interpolated=(grid.interpolated - {name}) | {to}, axes=grid.axes.without({to}))
+    notes = [f"axis_uncertainty of {to}=dropped"] * spec.uncertain + ["axis_correlation=dropped"] * (len(store) < len(grid.correlation))
+    out = replace(out, note="; ".join(notes))
     if method == "linear":
         return replace(out, cells=_segments(grid, out, name, to, others, rest))
     fields = [T.StructField(x, grid.cells.schema[x].dataType) for x in rest] + [T.StructField(to, T.DoubleType())]

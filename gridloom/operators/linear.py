@@ -108,8 +108,8 @@ def apply_weights(grid: Grid, name: str, target: Dim, weights: np.ndarray, targe
         aggregates.append(F.coalesce(F.first("__tag").cast("byte"), n.worst_tag(grid.tag_column(v))).alias(tag(v)))
         out_vars[v] = replace(s, tagged=True)
     cells = joined.groupBy(*map(col, rest), "__t").agg(*aggregates).withColumnRenamed("__t", target.name)
-    dims = tuple(target if d.name == name else d for d in grid.dims)
-    out = replace(grid, dims=dims, vars=out_vars)
+    dims = tuple(target if d.name == name else d for d in grid.dimensions)
+    out = replace(grid, dimensions=dims, vars=out_vars)
     return replace(out, cells=cells.select(*map(col, out.dim_names), *map(col, out.columns())))
 
 

@@ -34,10 +34,10 @@ def _names(along: str | Sequence[str]) -> list[str]:
 
 def _grouped(grid: Grid, names: Sequence[str], aggregates: list[Column]) -> tuple[Grid, DataFrame]:
     """One row per remaining cell."""
-    dims = tuple(d for d in grid.dims if d.name not in names)
+    dims = tuple(d for d in grid.dimensions if d.name not in names)
     rest = [d.name for d in dims]
     cells = grid.cells.groupBy(*map(col, rest)).agg(*aggregates) if rest else grid.cells.agg(*aggregates)
-    out = replace(grid, dims=dims, interpolated=grid.interpolated - set(names))
+    out = replace(grid, dimensions=dims, interpolated=grid.interpolated - set(names))
     return (out if dims else collapsed(out)), cells
 
 
@@ -88,7 +88,7 @@ def _integrate_one(grid: Grid, v: str, name: str, radius: bool, to_radians: bool
     if radius:
         cells = cells.withColumns({v: col(v) * col(name), **{c: col(c) * F.abs(col(name)) for c, has in ((u_sys(v), s.sys), (u_rand(v), s.rand)) if has}})
     fine = n.finite(col(v))
-    rest = [d.name for d in grid.dims if d.name != name]
+    rest = [d.name for d in grid.dimensions if d.name != name]
     if skipna:
         # Weights over the populated points of each line, from their neighbours.
         place = col(name) * n.lit(np.pi / 180.0) if to_radians else col(name)
@@ -138,9 +138,10 @@ def integrate(grid: Grid, var: str, over: str | Sequence[str], coords: str | Non
         degrees[names[1]] = unit == "deg" and coefficients("deg", "rad")[0] != 1
     guard_reduction(grid, names, [var])
     out = replace(grid, vars={var: spec}, cells=grid.cells.select(*map(col, grid.dim_names), *map(col, grid.columns([var]))), correlation={}, axes=grid.axes.without(set(grid.vars) - {var}).without({var}))
-    note = ""
+    note = "correlation=dropped" if grid.correlation else ""
     if skipna:
-        note = "populated points only"
+        found = out.cells.agg(F.count(F.when(n.finite(col(var)), F.lit(1)))).first()[0]
+        note += ("; " if note else "") + f"populated={found}/{grid.expected_cells()}"
     for i, x in enumerate(names):
         out = _integrate_one(out, var, x, coords == "polar" and i == 0, degrees.get(x, False), skipna)
     result = Var(None, spec.description, spec.long_name, **{k: getattr(out.vars[var], k) for k in ("sys", "rand", "tagged", "absent_tag")})

@@ -7,7 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from ..errors import CombineError, ConcatOverlapError, DataError, DimensionError, PivotDuplicateError, VariableError
+from ..errors import CombineError, ConcatOverlapError, DataError, DimensionError, PivotDuplicateError, UncertaintyError, VariableError
 from ..functions import numeric as n
 from ..grid import DATAPOINT, Dim, Grid, as_coordinates, col, tag, u_rand, u_sys
 
@@ -40,7 +40,7 @@ def declare_dims(grid: Grid, names: Sequence[str], string_ok: bool = True) -> Gr
     for d in dims:
         full *= len(d)
     out = replace(
-        grid, dims=dims, vars=grid.only(keep), correlation=grid.restricted_correlation(keep), axes=grid.axes.without(set(names)),
+        grid, dimensions=dims, vars=grid.only(keep), correlation=grid.restricted_correlation(keep), axes=grid.axes.without(set(names)),
         roots={k: v for k, v in grid.roots.items() if k in keep}, dense=found["cells"] == full,
     )
     cells = grid.cells
@@ -74,18 +74,18 @@ def pivot(grid: Grid, dims: Sequence[str] | None, auto_detect: bool, threshold:
 
 def collapsed(grid: Grid) -> Grid:
     """No dimension left: one datapoint."""
-    return replace(grid, dims=(Dim(DATAPOINT, None),), dense=True)
+    return replace(grid, dimensions=(Dim(DATAPOINT, None),), dense=True)
 
 
 def without_dims(grid: Grid, names: Sequence[str]) -> Grid:
     """Drop dimensions whose cells no longer differ along them."""
-    dims = tuple(d for d in grid.dims if d.name not in names)
-    out = replace(grid, dims=dims, cells=grid.cells.drop(*names))
+    dims = tuple(d for d in grid.dimensions if d.name not in names)
+    out = replace(grid, dimensions=dims, cells=grid.cells.drop(*names))
     return out if dims else collapsed(out)
 
 
 def squeeze(grid: Grid, along: str | None) -> Grid:
-    names = [d.name for d in grid.dims if d.coords is not None and len(d) == 1] if along is None else [along]
+    names = [d.name for d in grid.dimensions if d.coords is not None and len(d) == 1] if along is None else [along]
     if along is not None and len(grid.dim(along)) != 1:
         raise DimensionError(along, f"has {len(grid.dim(along))} coordinates", "Only dimensions of one coordinate can be squeezed")
     if not names:
@@ -96,9 +96,9 @@ def squeeze(grid: Grid, along: str | None) -> Grid:
 def expand(grid: Grid, dim_name: str, values: object, axis: int | None) -> Grid:
     """Repeat every cell along a new dimension; the join is with its coordinates only."""
     coords = as_coordinates(values, dim_name)
-    if dim_name in grid.vars or dim_name in [d.name for d in grid.dims]:
+    if dim_name in grid.vars or dim_name in [d.name for d in grid.dimensions]:
         raise DataError(dim_name, "the name is taken", "Choose another name for the new dimension")
-    kept = [] if grid.is_datapoint else list(grid.dims)
+    kept = [] if grid.is_datapoint else list(grid.dimensions)
     if grid.is_datapoint and grid.cells.limit(2).count() > 1:
         raise DimensionError(DATAPOINT, "raw datapoints cannot be expanded", "Pivot them first")
     where = len(kept) if axis is None else axis
@@ -106,15 +106,15 @@ def expand(grid: Grid, dim_name: str, values: object, axis: int | None) -> Grid:
         raise DimensionError(dim_name, f"axis {axis} is out of range", f"Use 0 to {len(kept)}")
     where = where if where >= 0 else where + len(kept) + 1
     dims = (*kept[:where], Dim(dim_name, coords), *kept[where:])
-    out = replace(grid, dims=dims)
+    out = replace(grid, dimensions=dims)
     return replace(out, cells=grid.cells.crossJoin(F.broadcast(out.coordinate_table(dim_name).drop("__ordinal"))))
 
 
 def concat(frames: Sequence[Grid], *, along: str, history: bool = False, comment: str | None = None) -> Grid:
     """Append grids along a dimension that none of them shares coordinates of."""
     frames = list(frames)
-    if len(frames) < 2:
-        raise CombineError("concat", "needs two grids or more", "Pass a list of grids")
+    if not frames:
+        raise CombineError("concat", "needs a grid", "Pass a list of grids")
     first = frames[0]
     base = first.dim(along)
     seen: list = list(base.coords)
@@ -122,9 +122,9 @@ def concat(frames: Sequence[Grid], *, along: str, history: bool = False, comment
         mine = other.dim(along)
         if other.mode != first.mode:
             raise CombineError("mode", f"{first.mode} and {other.mode}", "Promote or demote one of the grids")
-        if [d.name for d in other.dims] != [d.name for d in first.dims]:
+        if [d.name for d in other.dimensions] != [d.name for d in first.dimensions]:
             raise CombineError("dimensions", f"{first.dim_names} and {other.dim_names}", "Grids need the same dimensions in the same order")
-        for a, b in zip(first.dims, other.dims, strict=True):
+        for a, b in zip(first.dimensions, other.dimensions, strict=True):
             if a.unit != b.unit:
                 raise CombineError(a.name, f"units {a.unit} and {b.unit}", "Convert one of them")
             if a.name != along and a.coords != b.coords:
@@ -134,11 +134,11 @@ def concat(frames: Sequence[Grid], *, along: str, history: bool = False, comment
         for v, s in first.vars.items():
             o = other.vars[v]
             if (o.sys, o.rand) != (s.sys, s.rand):
-                raise CombineError(v, "uncertainty components differ", "Assign the same components in each grid")
+                raise UncertaintyError(v, "uncertainty components differ", "Assign the same components in each grid")
             if o.unit != s.unit:
                 raise CombineError(v, f"units {s.unit} and {o.unit}", "Convert one of them")
         if dict(other.correlation) != dict(first.correlation):
-            raise CombineError("correlations", "differ between the grids", "Declare the same correlations in each")
+            raise UncertaintyError("correlations", "differ between the grids", "Declare the same in each, or drop them before")
         if other.axes.current() != first.axes.current():
             raise CombineError("vector groups", "are in different axes", "Rotate one of the grids")
         if base.numeric != mine.numeric:
@@ -149,8 +149,8 @@ def concat(frames: Sequence[Grid], *, along: str, history: bool = False, comment
         seen += mine.coords
     tagged = {v for f in frames for v, s in f.vars.items() if s.tagged}
     vars_ = {v: replace(s, tagged=v in tagged, absent_tag=s.absent_tag if all(f.vars[v].absent_tag == s.absent_tag for f in frames) else 0) for v, s in first.vars.items()}
-    dims = tuple(replace(d, coords=tuple(seen)) if d.name == along else d for d in first.dims)
-    out = replace(first, dims=dims, vars=vars_, dense=all(f.dense for f in frames), interpolated=frozenset().union(*(f.interpolated for f in frames)), transferred=frozenset().union(*(f.transferred for f in frames)))
+    dims = tuple(replace(d, coords=tuple(seen)) if d.name == along else d for d in first.dimensions)
+    out = replace(first, dimensions=dims, vars=vars_, dense=all(f.dense for f in frames), interpolated=frozenset().union(*(f.interpolated for f in frames)), transferred=frozenset().union(*(f.transferred for f in frames)))
     cells = None
     for f in frames:
         if any(f.vars[v].absent_tag != vars_[v].absent_tag for v in vars_):

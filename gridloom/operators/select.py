@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..errors import DimensionError, NonNumericDimensionError, SelectionError
+from ..errors import DataError, DimensionError, NonNumericDimensionError, SelectionError, UncertaintyError
 from ..functions import numeric as n
 from ..grid import Dim, Grid, col, u_rand, u_sys
 from .reshape import without_dims
@@ -52,7 +52,7 @@ def _quantity(grid: Grid, name: str, frame: str) -> Column:
     if frame == "UncFrame":
         s = grid.vars[name]
         if not s.uncertain:
-            raise SelectionError(name, "has no uncertainty", "Assign one with set_uncertainty")
+            raise UncertaintyError(name, "has no uncertainty", "Assign one with set_uncertainty")
         return F.sqrt(reduce(operator.add, [col(c) * col(c) for c, has in ((u_sys(name), s.sys), (u_rand(name), s.rand)) if has]))
     return col(name)
 
@@ -60,7 +60,7 @@ def _quantity(grid: Grid, name: str, frame: str) -> Column:
 def select(grid: Grid, filters: Mapping[str, object], frame: str) -> Grid:
     """Keep coordinates; blank cells that fail a condition and drop what is blank throughout."""
     if frame not in ("VarFrame", "UncFrame", "HistoryFrame"):
-        raise SelectionError(str(frame), "unknown frame", "Use 'VarFrame', 'UncFrame' or 'HistoryFrame'")
+        raise DataError(str(frame), "unknown frame", "Use 'VarFrame', 'UncFrame' or 'HistoryFrame'")
     if not filters:
         raise SelectionError("select", "no filter", "Pass {'name >': value, ...}")
     keep: dict[str, list] = {}
@@ -87,24 +87,24 @@ def select(grid: Grid, filters: Mapping[str, object], frame: str) -> Grid:
     for name, coords in keep.items():
         if len(coords) < len(grid.dim(name)):
             cells = cells.where(col(name).isin(coords))
-    dims = tuple(replace(d, coords=tuple(keep[d.name])) if d.name in keep else d for d in grid.dims)
-    out = replace(grid, cells=cells, dims=dims)
+    dims = tuple(replace(d, coords=tuple(keep[d.name])) if d.name in keep else d for d in grid.dimensions)
+    out = replace(grid, cells=cells, dimensions=dims)
     if not conditions:
-        return out
+        return replace(out, note="masked=0")
     if any(op == "!=" for _, op in conditions) or frame == "HistoryFrame":
         out = out.densified()  # a missing cell can satisfy these
     match = reduce(operator.and_, [c for c, _ in conditions])
     live = out.cells.where(match)
     if grid.is_datapoint:
-        left = live.count()
+        total, left = out.cells.agg(F.count(F.lit(1)), F.count(F.when(match, 1))).first()
         if not left:
             raise SelectionError(", ".join(filters), "no datapoint satisfies the condition", "Relax it")
-        return replace(out, cells=live, note=f"{left} points left")
+        return replace(out, cells=live, note=f"masked={total - left}")
     names = out.dim_names
     found = live.agg(F.count(F.lit(1)).alias("cells"), *[F.collect_set(col(x)).alias(x) for x in names]).first()
     if not found["cells"]:
         raise SelectionError(", ".join(filters), "every cell is masked", "Relax the condition")
-    dims = tuple(replace(d, coords=tuple(c for c in d.coords if c in set(found[d.name]))) for d in out.dims)
+    dims = tuple(replace(d, coords=tuple(c for c in d.coords if c in set(found[d.name]))) for d in out.dimensions)
     masked = out.expected_cells() - found["cells"]
     if any(s.tagged for s in out.vars.values()):  # masked cells keep their tags, and so their rows
         cells = out.cells
@@ -113,8 +113,8 @@ def select(grid: Grid, filters: Mapping[str, object], frame: str) -> Grid:
         blank = [c for v, s in out.vars.items() for c, has in ((v, True), (u_sys(v), s.sys), (u_rand(v), s.rand)) if has]
         hit = F.coalesce(match, F.lit(False))
         cells = cells.select(*[F.when(hit, col(c)).otherwise(n.nan()).alias(c) if c in blank else col(c) for c in cells.columns])
-        return replace(out, dims=dims, cells=cells, note=f"{masked} cells masked")
-    return replace(out, dims=dims, cells=live, dense=out.dense and not masked, note=f"{masked} cells masked")
+        return replace(out, dimensions=dims, cells=cells, note=f"masked={masked}")
+    return replace(out, dimensions=dims, cells=live, dense=out.dense and not masked, note=f"masked={masked}")
 
 
 def at(grid: Grid, coords: Mapping[str, object]) -> Grid:

@@ -44,7 +44,7 @@ def set_uncertainty(grid: Grid, spec: Mapping[str, float | str], component: str)
 
 
 def set_metadata(grid: Grid, spec: Mapping[str, Mapping[str, str | None]]) -> Grid:
-    dims, vars_ = list(grid.dims), dict(grid.vars)
+    dims, vars_ = list(grid.dimensions), dict(grid.vars)
     for name, fields in spec.items():
         at = next((i for i, d in enumerate(dims) if d.name == name), None)
         allowed = ("unit", "description") if at is not None else ("unit", "description", "long_name")
@@ -55,7 +55,7 @@ def set_metadata(grid: Grid, spec: Mapping[str, Mapping[str, str | None]]) -> Gr
             dims[at] = replace(dims[at], **fields)
         else:
             vars_[name] = replace(grid.var(name), **fields)
-    return replace(grid, dims=tuple(dims), vars=vars_)
+    return replace(grid, dimensions=tuple(dims), vars=vars_)
 
 
 def correlated(store: Mapping[tuple[str, str], float], a: str, b: str) -> float:

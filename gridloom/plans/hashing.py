@@ -39,7 +39,7 @@ def metadata_of(grid) -> dict:
     from ..operators.geometry import axes_to_plain
 
     return {
-        "dims": [{"name": d.name, "coords": None if d.coords is None else list(d.coords), "unit": d.unit, "description": d.description} for d in grid.dims],
+        "dims": [{"name": d.name, "coords": None if d.coords is None else list(d.coords), "unit": d.unit, "description": d.description} for d in grid.dimensions],
         "vars": {
             v: {"unit": s.unit, "description": s.description, "long_name": s.long_name, "sys": s.sys, "rand": s.rand, "tagged": s.tagged, "absent_tag": s.absent_tag, "fitted": s.fitted}
             for v, s in sorted(grid.vars.items())

@@ -91,6 +91,10 @@ class History:
     def __getitem__(self, i: int) -> Entry:
         return self.entries[i]
 
+    @property
+    def last(self) -> Entry | None:
+        return self.entries[-1] if self.entries else None
+
     def append(self, operation: str, comment: str | None, step: Step | None, mode: str) -> History:
         before = self.entries[-1].recipe if self.entries else ""
         recipe = hashlib.sha256(json.dumps([before, operation, comment, mode]).encode()).hexdigest()

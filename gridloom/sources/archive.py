@@ -72,7 +72,7 @@ def open_archive(path) -> Grid:
     listed = lambda x: tuple(listed(y) for y in x) if isinstance(x, list) else x
     grid = Grid(
         cells=spark.read.parquet(f"{root}/cells"),
-        dims=tuple(Dim(d["name"], None if d["coords"] is None else tuple(d["coords"]), d["unit"], d["description"]) for d in meta["dims"]),
+        dimensions=tuple(Dim(d["name"], None if d["coords"] is None else tuple(d["coords"]), d["unit"], d["description"]) for d in meta["dims"]),
         vars={v: Var(**{**meta["vars"][v], "fitted": listed(meta["vars"][v]["fitted"]) if meta["vars"][v]["fitted"] else None}) for v in meta["order"]},
         provenance=Provenance(**{**made, "sources": tuple(made["sources"]), "coordinates": listed(made["coordinates"])}),
         history=History(tuple(Entry(e["index"], e["operation"], e["timestamp"], e["recipe"], e["comment"], None if e["step"] is None else Step(e["step"]["call"], kwargs_from_plain(e["step"]["call"], e["step"]["kwargs"]), e["step"]["comment"])) for e in history)),

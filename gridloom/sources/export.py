@@ -118,7 +118,7 @@ def to_numpy(grid: Grid, return_dims: bool, copy: bool, allow_draft: bool):
         for a in out.values():
             a.setflags(write=False)
     if return_dims:
-        return out, {d.name: np.array(d.coords) for d in grid.dims if d.coords is not None}
+        return out, {d.name: np.array(d.coords) for d in grid.dimensions if d.coords is not None}
     return out
 
 
@@ -139,7 +139,7 @@ def to_json(grid: Grid, path, allow_draft: bool) -> Path:
     body |= {
         "provenance": {"version": p.version, "user": p.user, "created_at": p.created_at, "sources": list(p.sources), "source_hash": p.source_hash, "mode": grid.mode, "tag": p.tag},
         "history": [{"index": e.index, "operation": e.operation, "timestamp": e.timestamp, "hash": e.recipe, "comment": e.comment} for e in grid.history],
-        "dimensions": {d.name: {"coords": None if d.coords is None else list(d.coords), "unit": d.unit, "description": d.description} for d in grid.dims},
+        "dimensions": {d.name: {"coords": None if d.coords is None else list(d.coords), "unit": d.unit, "description": d.description} for d in grid.dimensions},
         "variables": {v: {"values": _json(arrays[v]), "unit": s.unit, "description": s.description, "long_name": s.long_name} for v, s in grid.vars.items()},
     }
     if mirrors:

@@ -49,7 +49,7 @@ def summary(grid: Grid) -> Summary:
         known = F.when(n.finite(col(v)), col(v))
         aggregates += [n.or_nan(f(known)).alias(f"{k}{i}") for k, f in (("min", F.min), ("max", F.max), ("mean", F.avg))]
     row = grid.cells.agg(*aggregates).first()
-    shape = tuple(row["rows"] if d.coords is None else len(d) for d in grid.dims)
+    shape = tuple(row["rows"] if d.coords is None else len(d) for d in grid.dimensions)
     variables = {v: {k: row[f"{k}{i}"] for k in ("min", "max", "mean")} for i, v in enumerate(grid.vars)}
     out = Summary(shape, variables, row["rows"] * 8 * (len(grid.columns()) + len(grid.dim_names)), grid.mode, len(grid.history))
     print(f"shape {shape}, mode {out.mode}, {out.operations} operations, about {out.bytes} bytes")
@@ -103,7 +103,7 @@ def diagnostics(grid: Grid, log=None) -> Diagnostics:
             notes.append(f"{v} covers {coverage:.1%} of the grid")
         if infinite:
             notes.append(f"{v} has {infinite} infinite values")
-    notes += [f"dimension {d.name} has a single point" for d in grid.dims if d.coords is not None and len(d) == 1]
+    notes += [f"dimension {d.name} has a single point" for d in grid.dimensions if d.coords is not None and len(d) == 1]
     out = Diagnostics(total, variables, notes)
     if log is not None:
         (out.to_json if str(log).lower().endswith(".json") else out.to_csv)(log)

@@ -145,7 +145,7 @@ def test_archive(grid, tmp_path):
     full = grid.set_uncertainty({"CT": "5%"}).compute("z = 2 * CT").register_axis(gl.Axis("t", rotation_matrix=np.eye(3))).set_metadata({"alpha": {"unit": "deg"}}).interpolate({"alpha": [0, 1]})
     full.save(tmp_path / "a")
     back = gl.open(tmp_path / "a")
-    assert back.state_hash == full.state_hash and back.dims == full.dims and back.vars == dict(full.vars) and back.roots == dict(full.roots)
+    assert back.state_hash == full.state_hash and back.dimensions == full.dimensions and back.vars == dict(full.vars) and back.roots == dict(full.roots)
     assert [e.operation for e in back.history] == [e.operation for e in full.history]
     with pytest.raises(er.ExportError):
         full.save(tmp_path / "a")
