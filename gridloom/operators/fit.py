@@ -91,9 +91,10 @@ def fitmodel(grid: Grid, along: str, deg: int) -> Grid:
             return made[[f.name for f in fields]]
 
         cells = pandas_cells(grid.cells.groupBy(*map(col, rest)) if rest else grid.cells.groupBy(F.lit("line")), run, fields)
-    dims = tuple(Dim(name, labels, None, f"polynomial in {along}, fitted from {x.min():.17g} to {x.max():.17g}") if c.name == along else c for c in grid.dimensions)
+    dims = tuple(Dim(name, labels, None, f"polynomial coefficients, fitted range {along}=[{float(x.min())!r}, {float(x.max())!r}]") if c.name == along else c for c in grid.dimensions)
     vars_ = {v: replace(s, unit=None, fitted=((name, along, float(x.min()), float(x.max())),) + tuple(s.fitted or ())) for v, s in grid.vars.items()}
-    out = replace(grid, dimensions=dims, vars=vars_, correlation={}, axes=grid.axes.without(set(grid.vars)), roots={}, dense=grid.dense or not rest)
+    note = "correlation=dropped" if grid.correlation else ""
+    out = replace(grid, dimensions=dims, vars=vars_, note=note, correlation={}, axes=grid.axes.without(set(grid.vars)), roots={}, dense=grid.dense or not rest)
     return replace(out, cells=cells.select(*map(col, out.dim_names), *map(col, out.columns())))
 
 
@@ -121,5 +122,6 @@ def fitvalue(grid: Grid, coef_dims: Sequence[str], at: Mapping[str, object]) ->
         place = F.when((col(of) < n.lit(lo)) | (col(of) > n.lit(hi)), F.lit(-1)).otherwise(F.lit(1)).cast("byte")
         marks = {tag(v): n.worst_of(col(tag(v)), place) if before[v] else place for v in made.vars}
         vars_ = {v: replace(s, fitted=tuple(f for f in s.fitted or () if f[0] != name) or None) for v, s in made.vars.items()}
-        out = replace(made, cells=made.cells.withColumns(marks), vars=vars_, correlation={}, axes=made.axes.without(set(made.vars)), dense=out.dense)
+        note = "correlation=dropped" if grid.correlation else ""
+        out = replace(made, cells=made.cells.withColumns(marks), vars=vars_, note=note, correlation={}, axes=made.axes.without(set(made.vars)), dense=out.dense)
     return out

@@ -17,7 +17,7 @@ from .uncertainty import clamped_root, correlated
 
 BUILT_IN = ("body", "stability", "wind")
 #: Triplets that form a vector group without a declaration.
-KNOWN_GROUPS = (("FX", "FY", "FZ"), ("MX", "MY", "MZ"))
+KNOWN_GROUPS = {"force": ("FX", "FY", "FZ"), "moment": ("MX", "MY", "MZ")}
 
 
 @dataclass(frozen=True)
@@ -107,11 +107,20 @@ class Axes:
     def all_groups(self, variables: Collection[str]) -> dict[str, Group]:
         out = dict(self.groups)
         taken = {c for g in out.values() for c in g.components}
-        for triple in KNOWN_GROUPS:
-            if all(c in variables for c in triple) and not taken & set(triple):
-                out["".join(triple)] = Group(triple, "body", False)
+        for name, triple in KNOWN_GROUPS.items():
+            if name not in out and all(c in variables for c in triple) and not taken & set(triple):
+                out[name] = Group(triple, "body", False)
         return out
 
+    @property
+    def vector_groups(self) -> dict[str, tuple[str, str, str]]:
+        return {k: g.components for k, g in self.groups.items()}
+
+    def group_axis(self, name: str) -> str:
+        if name not in self.groups:
+            raise AxisError(name, "unknown vector group", "Groups are: " + (", ".join(self.groups) or "none"))
+        return self.groups[name].axis
+
     def current(self) -> dict:
         return {k: (g.components, g.axis) for k, g in self.groups.items()}
 
@@ -316,6 +325,7 @@ def rotate(grid: Grid, target_axis: str, vector_groups: Sequence[str] | None) ->
         for c in g.components:
             if vars_[c].uncertain:
                 roots[c] = own
+    notes.insert(0, "groups=" + ", ".join(todo))
     out = replace(grid, vars=vars_, axes=registry, correlation=store, roots=roots, note="; ".join(notes))
     cells = grid.cells.withColumns(new) if new else grid.cells
     return replace(out, cells=cells.select(*map(col, out.dim_names), *map(col, out.columns())))
@@ -335,9 +345,10 @@ def translate_moments(grid: Grid, to_point: object, from_point: object, axis: st
     """M' = M + r x F with r from the new point to the old one."""
     groups = grid.axes.all_groups(grid.vars)
 
-    def pick(name: str | None, known: tuple, what: str) -> tuple[str, Group]:
+    def pick(name: str | None, what: str) -> tuple[str, Group]:
         if name is None:
-            found = [(k, g) for k, g in groups.items() if g.components == known]
+            known = KNOWN_GROUPS[what]
+            found = [(k, g) for k, g in groups.items() if k == what or g.components == known]
             if not found:
                 raise AxisError(what, f"no group of {', '.join(known)}", f"Pass {what}= with the name of a declared group")
             return found[0]
@@ -345,8 +356,8 @@ def translate_moments(grid: Grid, to_point: object, from_point: object, axis: st
             raise AxisError(name, "unknown vector group", "Groups are: " + (", ".join(groups) or "none"))
         return name, groups[name]
 
-    force_name, f = pick(force, KNOWN_GROUPS[0], "force")
-    moment_name, m = pick(moment, KNOWN_GROUPS[1], "moment")
+    force_name, f = pick(force, "force")
+    moment_name, m = pick(moment, "moment")
     if force_name == moment_name:
         raise AxisError(force_name, "is both force and moment", "Name two groups")
     if f.axis != m.axis:
@@ -378,5 +389,6 @@ def translate_moments(grid: Grid, to_point: object, from_point: object, axis: st
     for c in m.components:
         if vars_[c].uncertain:
             roots[c] = both
-    out = replace(grid, vars=vars_, correlation=store, roots=roots, transferred=grid.transferred | set(m.components) if having else grid.transferred)
+    notes = [f"axis={f.axis!r}"] * (axis is None) + ["correlation=dropped"] * (len(store) < len(grid.correlation))
+    out = replace(grid, vars=vars_, correlation=store, roots=roots, note="; ".join(notes), transferred=grid.transferred | set(m.components) if having else grid.transferred)
     return replace(out, cells=grid.cells.withColumns(new).select(*map(col, out.dim_names), *map(col, out.columns())))

@@ -212,7 +212,8 @@ def diff(grid: Grid, along: str, window: int, deg: int, nan_edges: bool) -> Grid
     vars_ = {
         names[v]: Var(unit=f"{s.unit}/{d.unit}" if s.unit and d.unit else None, tagged=s.tagged) for v, s in grid.vars.items()
     }
-    out = replace(grid, vars=vars_, correlation={}, axes=grid.axes.without(set(grid.vars)), roots={}, dense=dense.dense)
+    note = "correlation=dropped" if grid.correlation else ""
+    out = replace(grid, vars=vars_, note=note, correlation={}, axes=grid.axes.without(set(grid.vars)), roots={}, dense=dense.dense)
     return replace(out, cells=cells.select(*map(col, out.dim_names), *map(col, out.columns())))
 
 

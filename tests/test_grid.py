@@ -460,6 +460,8 @@ def test_rotate_there_and_back(spark):
     close(values(back, "FY"), values(g, "FY"))
     length = turned.compute("n = sqrt(FX**2 + FY**2 + FZ**2)")
     close(np.nansum(values(length, "n")), math.sqrt(14) + math.sqrt(77))
+    assert turned.axes.group_axis("force") == "wind" and turned.axes.vector_groups["force"] == ("FX", "FY", "FZ")
+    close(values(turned.rotate("wind"), "FX"), values(turned, "FX"))
     a, b = math.radians(12), math.radians(7)
     y = np.array([[math.cos(a), 0, math.sin(a)], [0, 1, 0], [-math.sin(a), 0, math.cos(a)]])
     z = np.array([[math.cos(b), math.sin(b), 0], [-math.sin(b), math.cos(b), 0], [0, 0, 1]])
@@ -495,7 +497,9 @@ def test_rotate_angle_uncertainty(spark):
 def test_moments(spark):
     g = body(spark, 0, 1, 2, 3, 10, 20, 30)
     r = np.array([0.5, 0, 0]) - np.array([1, 2, 3])
-    row = g.translate_moments(to_point=(1, 2, 3), from_point=(0.5, 0, 0)).cells.first()
+    moved = g.translate_moments(to_point=(1, 2, 3), from_point=(0.5, 0, 0))
+    assert "axis='body'" in moved.history.last.operation
+    row = moved.cells.first()
     close([row.MX, row.MY, row.MZ], np.array([10, 20, 30]) + np.cross(r, [1, 2, 3]))
     u = g.set_uncertainty({"FZ": 0.1, "MY": 0.2}).translate_moments(to_point=(1, 0, 0))
     close(u.cells.first().u_sys__MY, math.hypot(0.1, 0.2))
