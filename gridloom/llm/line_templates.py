@@ -228,7 +228,8 @@ def drop_recurring_lines(
     gone = stage.table(recurring_lines(docs, stage, min_docs, depth, similarity, min_tokens, leaf_lines, id_col, text_col))
     rest = [F.col(c) for c in docs.columns if c != text_col]
     whole = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("key_id"), F.struct(*rest).alias("row"))
-    marked = whole.join(gone, whole["key_id"].eqNullSafe(gone["id"]), "left").select("text", "lines", "row")
+    # What documents lose grows with the corpus, so the join is planned for that at every size.
+    marked = whole.join(gone.hint("merge"), whole["key_id"].eqNullSafe(gone["id"]), "left").select("text", "lines", "row")
     schema = T.StructType(
         [T.StructField("text", T.StringType()), T.StructField("n_lines", T.IntegerType()), T.StructField("n_dropped", T.IntegerType()), T.StructField("row", marked.schema["row"].dataType)]
     )
