@@ -17,11 +17,13 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 import bisect
+import json
 import math
 import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -29,58 +31,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Encoded pre-tokens that a worker process keeps: two generations of this many.
-CACHE_PRETOKENS = 600_000
 _loaded: dict[str, Encoder] = {}
 
 
+def _bytes_of_letters() -> dict[str, int]:
+    """The bytes that byte-level vocabularies write as letters: printable ones as themselves."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """A byte-level BPE file whose pre-tokens are encoded once and then looked up.
+    """The ids that a tokenizer file gives, without special tokens added.
 
-    Pre-tokens are encoded independently of each other, so the ids of a text are the ids of
-    its pre-tokens in a row; the pattern is the one that such files split by.
+    A byte-level file whose merges are in the order of their ids says the same as a table of
+    ranks, and encoding by ranks is three times as fast; any other file, and any text that
+    holds one of the file's special tokens, is left to the file's own library. The two are
+    compared on a sample when a file is loaded.
     """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pattern = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.ranked = self._by_ranks(json.loads(Path(path).read_text(encoding="utf-8")))
+
+    def _by_ranks(self, file: dict):
+        import tiktoken
+
+        model, split = file["model"], file.get("pre_tokenizer") or {}
+        if model.get("type") != "BPE" or file.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            return None
+        vocabulary = model["vocab"]
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        if any(vocabulary.get(m) != 256 + i for i, m in enumerate(merged)):
+            return None
+        letters = _bytes_of_letters()
+        ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token not in self.special}
+        pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+        made = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        sample = "It's 3 o'clock,\n\n  Größe №12\t日本語  🙂 \x1c\x85\u200b end  "
+        return made if made.encode_ordinary(sample) == self.tokenizer.encode(sample, add_special_tokens=False).ids else None
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words = self.pattern.findall(text)
-        found = list(map(self.cache.get, words))
-        if None in found:
-            self._learn({w for w, f in zip(words, found, strict=True) if f is None})
-            found = map(self.cache.__getitem__, words)
-        return b"".join(found)
-
-    def _learn(self, missing: set[str]) -> None:
-        """Pre-tokens of the older generation move up; the others are encoded."""
-        fresh = []
-        for w in missing:
-            held = self.older.get(w)
-            if held is None:
-                fresh.append(w)
-            else:
-                self.cache[w] = held
-        for lo in range(0, len(fresh), 10_000):
-            part = fresh[lo : lo + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[w] = array("I", e.ids).tobytes()
-
-    def age(self) -> None:
-        """Between texts: a full generation becomes the older one."""
-        if len(self.cache) > CACHE_PRETOKENS:
-            self.older, self.cache = self.cache, {}
+        if self.ranked is None or any(s in text for s in self.special):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.ranked.encode_ordinary(text)
+        return array("I", ids).tobytes()
 
 
 def encoder(path: str) -> Encoder:
@@ -234,7 +235,6 @@ def _pieces(tokenizer_path: str, end_id: int, capacity: int, groups: int):
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                coder.age()
                 ids = coder.encode(text.as_py() or "") + end
                 n = len(ids) // 4
                 first = n % capacity or capacity

@@ -1,3 +1,4 @@
+import functools
 import random
 import zlib
 
@@ -76,12 +77,34 @@ def test_search_finds_least_bins():
     assert worse <= 1
 
 
-def test_cached_ids_are_the_tokenizers_ids():
-    plain = Tokenizer.from_file(PATH)
-    texts = ["", " ", "a  b\n\n c\t", "don't we'll 'S", "Größe № 12,345.67!!!   x", "日本語 テキスト", "<|endoftext|> x", "  \r\n ", "\x00\x01", "é 🙂🙃", "a" * 5000]
-    encode = Encoder(PATH).encode
-    for t in [*texts, " ".join(texts)]:
-        assert np.frombuffer(encode(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+TEXTS = ["", " ", "a  b\n\n c\t", "don't we'll 'S", "Größe № 12,345.67!!!   x", "日本語 テキスト", "<|endoftext|> x", "  \r\n ", "\x00\x01", "é 🙂🙃", "a" * 5000, "e\u0301 \u1680\u2028x"]
+
+
+def test_ids_are_the_tokenizers_ids():
+    plain, coder = Tokenizer.from_file(PATH), Encoder(PATH)
+    assert coder.ranked is not None
+    every = [f"a{chr(c)} b{chr(c)}{chr(c)}1 {chr(c)}'s" for c in [*range(0x3100), *range(0xA000, 0xA200), *range(0xFB00, 0x10000), *range(0x1F300, 0x1F700)]]
+    for t in [*TEXTS, " ".join(TEXTS), *every]:
+        assert np.frombuffer(coder.encode(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60))
+def test_ids_of_any_text(text):
+    plain, coder = _coders()
+    assert np.frombuffer(coder.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+@functools.cache
+def _coders():
+    return Tokenizer.from_file(PATH), Encoder(PATH)
+
+
+def test_other_files_go_to_their_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, coder = Tokenizer.from_file(path), Encoder(path)
+    assert coder.ranked is None
+    assert np.frombuffer(coder.encode("Some words"), "<u4").tolist() == plain.encode("Some words", add_special_tokens=False).ids
 
 
 def test_packing_round_trip(spark, make_docs):
