@@ -152,8 +152,41 @@ def _best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def pack_lengths(lengths: np.ndarray, capacity: int, nodes: int = 20_000, branch: int = 3) -> list[list[int]]:
-    """Bins (lists of lengths) as few as the search finds within ``nodes`` completions."""
+def _dive(lengths: list[int], counts: dict[int, int], capacity: int, slack: int) -> list[list[int]]:
+    """One path to the bottom: of the fillings within ``slack`` of the least waste, that of fewest pieces.
+
+    A little waste at the long pieces saves the short ones, which the middling pieces need.
+    """
+    alive, counts = list(lengths), dict(counts)
+
+    def take(n: int) -> None:
+        counts[n] -= 1
+        if not counts[n]:
+            alive.pop(bisect.bisect_left(alive, n))
+
+    bins = []
+    while alive:
+        longest = alive[-1]
+        take(longest)
+        free = capacity - longest
+        at = bisect.bisect_right(alive, free)
+        if at and free - alive[at - 1] <= slack:
+            filling: tuple[int, ...] = (alive[at - 1],)
+        else:
+            found = completions(free, alive, counts, 6) if at else [()]
+            most = sum(found[0])
+            filling = min((f for f in found if most - sum(f) <= slack), key=lambda f: (len(f), -sum(f)))
+        for n in filling:
+            take(n)
+        bins.append([longest, *filling])
+    return bins
+
+
+def pack_lengths(lengths: np.ndarray, capacity: int, nodes: int = 20_000, branch: int = 3, slacks: tuple[int, ...] = (1, 2, 3, 4, 6)) -> list[list[int]]:
+    """Bins (lists of lengths) as few as the search finds within ``nodes`` completions.
+
+    Best-fit decreasing and dives with some slack give the incumbent of the exact search.
+    """
     total = int(lengths.sum())
     floor = max(-(-total // capacity), int((2 * lengths > capacity).sum()))
     best = _best_fit(lengths, capacity)
@@ -162,6 +195,12 @@ def pack_lengths(lengths: np.ndarray, capacity: int, nodes: int = 20_000, branch
     values, numbers = np.unique(lengths, return_counts=True)
     counts = dict(zip(values.tolist(), numbers.tolist(), strict=True))
     alive = values.tolist()
+    for slack in slacks:
+        found = _dive(alive, counts, capacity, slack)
+        if len(found) < len(best):
+            best = found
+    if len(best) <= floor:
+        return best
 
     def take(n: int) -> None:
         counts[n] -= 1
