@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectext import chunks, codes_of, is_word, window_hash, word_spans
+from .vectext import chunks, codes_of, pieces, word_spans
 
 ORDER = 5
 _PAD = " "
@@ -61,12 +61,13 @@ def _class_grams(flush_words: int):
         words = (Counter(), Counter())
         for batch, texts in chunks(batches, 0):
             labels = batch.column(1).to_pylist()
-            codes, starts = codes_of(texts)
-            begin, end = word_spans(codes)
-            whole = codes.tobytes().decode("utf-32-le", "surrogatepass")
-            owner = np.searchsorted(starts, begin, side="right") - 1
-            for b, e, d in zip(begin.tolist(), end.tolist(), owner.tolist(), strict=True):
-                words[labels[d]][whole[b:e]] += 1
+            for parts, owners in pieces(texts):
+                codes, starts = codes_of(parts)
+                begin, end = word_spans(codes)
+                whole = codes.tobytes().decode("utf-32-le", "surrogatepass")
+                owner = owners[np.searchsorted(starts, begin, side="right") - 1]
+                for b, e, d in zip(begin.tolist(), end.tolist(), owner.tolist(), strict=True):
+                    words[labels[d]][whole[b:e]] += 1
             if len(words[0]) + len(words[1]) > flush_words:
                 yield from emit(words)
                 words = (Counter(), Counter())
@@ -88,44 +89,46 @@ class ToxicityModel:
 
     def features(self, texts: list[str]) -> np.ndarray:
         """Per text: whole-text normalised ratio, strongest word's, log share of leaning words."""
-        codes, starts = codes_of(texts)
-        word = is_word(codes)
-        spaced = np.where(word, codes, np.uint32(32))
-        shift = np.uint64(64 - self.bits)
-        ratio = np.zeros(len(codes), dtype=np.float32)
-        begin, end = word_spans(codes)
         out = np.zeros((len(texts), 3))
+        total, chars, top = np.zeros(len(texts)), np.zeros(len(texts)), np.full(len(texts), -np.inf)
+        leaning, words = np.zeros(len(texts)), np.zeros(len(texts))
+        for parts, owners in pieces(texts):
+            owner, ratio, length = self._words(parts)
+            of = owners[owner]
+            np.add.at(total, of, ratio)
+            np.add.at(chars, of, length)
+            np.maximum.at(top, of, np.minimum(ratio, 30.0))
+            np.add.at(leaning, of, ratio > 6.0)
+            np.add.at(words, of, 1.0)
+        some = words > 0
+        out[some, 0] = total[some] / chars[some]
+        out[some, 1] = top[some]
+        out[some, 2] = np.log1p(leaning[some]) - 0.5 * np.log1p(words[some] / 100.0)
+        return out
+
+    def _words(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each word's part, summed log-likelihood ratio, and number of predicted characters."""
+        codes, starts = codes_of(parts)
+        begin, end = word_spans(codes)
         if not len(begin):
-            return out
-        # Every letter and the space behind each word is predicted from the four codes before it;
-        # codes before the word's start count as padding.
-        live = word.copy()
-        live[end] = True
-        since = np.arange(len(codes)) - np.maximum.accumulate(np.where(~word, np.arange(len(codes)), 0))
-        back = np.maximum.accumulate(np.where(word, np.arange(len(codes)), 0))
-        start_of = np.zeros(len(codes), dtype=np.int64)
-        start_of[begin] = begin
-        start_of = np.maximum.accumulate(start_of)
-        at = np.flatnonzero(live)
-        first = np.where(word[at], at - since[at] + 1, start_of[back[at]])
+            return np.empty(0, dtype=np.int64), np.empty(0), np.empty(0, dtype=np.int64)
+        # Every letter, and the space behind each word, is predicted from the four codes before
+        # it; what lies before the word's start counts as padding.
+        length = end - begin + 1
+        first = np.repeat(begin.astype(np.int32), length)
+        offset = np.cumsum(length) - length
+        at = (np.arange(len(first), dtype=np.int32) - np.repeat(offset, length).astype(np.int32)) + first
         columns = np.empty((ORDER, len(at)), dtype=np.uint32)
-        for k in range(ORDER):
-            pos = at - (ORDER - 1) + k
-            columns[k] = np.where(pos >= first, spaced[np.maximum(pos, 0)], np.uint32(32))
-        gram = self.gram_ratio[(hash_columns(columns) >> shift).astype(np.int64)]
-        context = self.context_ratio[(hash_columns(columns[:-1]) >> shift).astype(np.int64)]
-        ratio[at] = np.where(np.isnan(gram), context, gram)
-        lengths = end - begin + 1
-        total = np.add.reduceat(ratio, np.stack([begin, end + 1], axis=1).ravel()[: 2 * len(begin) - (1 if end[-1] + 1 >= len(ratio) else 0)])[::2]
-        owner = np.searchsorted(starts, begin, side="right") - 1
-        change = np.flatnonzero(np.diff(owner, prepend=-1))
-        docs = owner[change]
-        chars = np.add.reduceat(lengths, change)
-        out[docs, 0] = np.add.reduceat(total, change) / chars
-        out[docs, 1] = np.maximum.reduceat(np.minimum(total, 30.0), change)
-        leaning = np.add.reduceat((total > 6.0).astype(np.float64), change)
-        out[docs, 2] = np.log1p(leaning) - 0.5 * np.log1p(np.diff(np.append(change, len(owner))) / 100.0)
-        return out
+        for k in range(ORDER - 1):
+            back = at - (ORDER - 1 - k)
+            columns[k] = np.where(back >= first, codes[np.maximum(back, 0)], np.uint32(32))
+        columns[-1] = codes[at]
+        columns[-1][offset + length - 1] = 32
+        shift = np.uint64(64 - self.bits)
+        gram = self.gram_ratio[hash_columns(columns) >> shift]
+        context = self.context_ratio[hash_columns(columns[:-1]) >> shift]
+        ratio = np.add.reduceat(np.where(np.isnan(gram), context, gram).astype(np.float64), offset)
+        return np.searchsorted(starts, begin, side="right") - 1, ratio, length
 
     def score(self, features: np.ndarray) -> np.ndarray:
         x = (features - self.centre) / self.scale

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+_SPACE = re.compile(r"\s")
 _tables: dict[str, np.ndarray] = {}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,6 +58,35 @@ def chunks(batches: Iterator[pa.RecordBatch], text_at: int, most: int = 1_500_00
             yield batch.slice(lo, len(texts)), texts
 
 
+def pieces(texts: list[str], most: int = 500_000) -> Iterator[tuple[list[str], np.ndarray]]:
+    """The texts in groups of about ``most`` characters, and which text each piece is of.
+
+    A text longer than that is cut behind white space, so no word is cut; what is counted per
+    word can be summed over the pieces, and memory does not grow with the longest text.
+    """
+    parts: list[str] = []
+    owners: list[int] = []
+    size = 0
+    for i, text in enumerate(texts):
+        lo = 0
+        while True:
+            hi = len(text)
+            if hi - lo > most:
+                space = _SPACE.search(text, lo + most)
+                hi = space.end() if space else hi
+            parts.append(text[lo:hi])
+            owners.append(i)
+            size += hi - lo
+            if size >= most:
+                yield parts, np.array(owners)
+                parts, owners, size = [], [], 0
+            lo = hi
+            if lo >= len(text):
+                break
+    if parts:
+        yield parts, np.array(owners)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambler of 64-bit numbers."""
     x = x ^ (x >> np.uint64(30))
@@ -65,16 +96,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def window_hash(codes: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n codes that end at each position (of fewer at the start)."""
-    c = codes.astype(np.uint64)
-    out = c.copy()
-    for back in range(1, n):
-        out *= _MIX
-        out[back:] += c[:-back] + np.uint64(back)
-    return mix64(out)
-
-
 def word_spans(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each run of letters and digits."""
     flag = is_word(codes).view(np.int8)
