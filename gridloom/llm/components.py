@@ -8,24 +8,30 @@ from pyspark.sql import functions as F
 from .staging import Stage
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step: every neighbour on one side is tied to the smallest neighbour."""
+def _stars(edges: DataFrame, large: bool, stage: Stage) -> DataFrame:
+    """One star step, written: every neighbour on one side is tied to the smallest neighbour.
+
+    The smallest neighbours are written before they are joined, so that the join has an
+    exchange of its own on either side, which adaptive execution can split at a hub.
+    """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    least = stage.table(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
     tied = both.join(least, "u")
     if large:
         out = tied.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    made = stage.table(out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    stage.drop(least)
+    return made
 
 
 def connected_components(edges: DataFrame, stage: Stage) -> DataFrame:
     """(node, root) of every node that has an edge (u, v); root is the component's smallest node.
 
     A node's smallest neighbour comes from a partial aggregate, and the rows of a hub are only
-    joined, never gathered. Steps are written out, and the last two are compared by the number
-    of edges and a sum of their hashes.
+    joined, never gathered. The last two rounds are compared by the number of edges and a sum
+    of their hashes.
     """
     now = stage.table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
@@ -34,8 +40,10 @@ def connected_components(edges: DataFrame, stage: Stage) -> DataFrame:
 
     seen = mark(now)
     while seen[0]:
-        after = stage.table(_stars(_stars(now, True), False))
+        half = _stars(now, True, stage)
+        after = _stars(half, False, stage)
         stage.drop(now)
+        stage.drop(half)
         now, before = after, seen
         seen = mark(now)
         if seen == before:

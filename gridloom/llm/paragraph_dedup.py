@@ -5,9 +5,16 @@ MinHash, with as many bands as give the wanted recall at the threshold; paragrap
 collide are verified by exact Jaccard, and of every connected component the occurrence with
 the smallest (doc_id, paragraph number) stays, all others are removed.
 
+A passage inside a longer paragraph leaves the two paragraphs far below any threshold, so what
+is left is compared once more by windows of ``window`` words, selected by winnowing: documents
+that share ``window + reach - 1`` words in a row (39 by default) share a selected window. The
+shared windows of a document, joined where they touch, are cut out, except in the document
+with the smallest doc_id that has them, so no two documents are left with so long a run.
+
 Defined results: shorter lines always stay; a null text is the empty text; rows that repeat
-a doc_id, or rows without one, are one document and lose the same lines; an empty table gives
-an empty result; other columns are ignored, whatever their names.
+a doc_id, or rows without one, are one document and lose the same lines; rows without an id
+take no part in the comparison of windows; an empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .similarity import node_ids, shingle_sets, signature_keys, verified_links
+from .similarity import hashed_words, node_ids, sets_of, shingle_sets, signature_keys, verified_links, winnowed
 from .staging import Stage
-from .vectext import chunks
+from .vectext import chunks, codes_of, word_spans
 
 
 def band_count(rows: int, threshold: float, recall: float) -> int:
@@ -43,14 +50,27 @@ def _paragraphs(texts: list[str], min_words: int) -> tuple[list[str], list[int],
     return lines, owner, number
 
 
-def _sign(bands: int, rows: int, shingle: int, min_words: int):
-    schema = pa.schema([("id", pa.int64()), ("par", pa.int32()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
+def _windows(lines: list[str], window: int, reach: int, hashed=None) -> list[list[tuple[int, int]]]:
+    """(first word, hash) of the selected windows of each line."""
+    words, bounds = hashed or hashed_words(lines)
+    where, hashes = winnowed(words, bounds, window, reach)
+    out: list[list[tuple[int, int]]] = [[] for _ in lines]
+    line = np.searchsorted(bounds, where, side="right") - 1
+    for i, place, h in zip(line.tolist(), (where - bounds[line]).tolist(), hashes.view(np.int64).tolist(), strict=True):
+        out[i].append((place, h))
+    return out
+
+
+def _sign(bands: int, rows: int, shingle: int, min_words: int, window: int, reach: int):
+    schema = pa.schema([("id", pa.int64()), ("par", pa.int32()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("windows", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, 0):
             ids = batch.column(1).to_pylist()
             lines, owner, number = _paragraphs(texts, min_words)
-            sets = shingle_sets(lines, shingle)
+            words, bounds = hashed_words(lines)
+            sets = sets_of(words, bounds, shingle)
+            windows = _windows(lines, window, reach, (words, bounds))
             keep = [i for i, s in enumerate(sets) if len(s)]
             sets = [sets[i] for i in keep]
             keys = signature_keys(sets, bands, rows)
@@ -60,6 +80,7 @@ def _sign(bands: int, rows: int, shingle: int, min_words: int):
                     pa.array([number[i] for i in keep], pa.int32()),
                     pa.array(node_ids(sets), pa.int64()),
                     pa.array(list(keys), pa.list_(pa.int64())),
+                    pa.array([[h for _, h in windows[i]] for i in keep], pa.list_(pa.int64())),
                 ],
                 schema=schema,
             )
@@ -81,8 +102,28 @@ def _wanted_sets(shingle: int, min_words: int):
     return run
 
 
-def _strip(min_words: int):
-    """Remove the listed paragraphs; a run number tells rows of one id apart."""
+def cut_windows(line: str, shared: set[int], window: int, reach: int) -> tuple[str, int]:
+    """The line without the runs of words that its shared windows cover, and how many runs."""
+    covered: list[list[int]] = []
+    for place, h in _windows([line], window, reach)[0]:
+        if h in shared:
+            if covered and place <= covered[-1][1] + 1:
+                covered[-1][1] = max(covered[-1][1], place + window)
+            else:
+                covered.append([place, place + window])
+    if not covered:
+        return line, 0
+    begin, end = word_spans(codes_of([line])[0])  # places in the line, one behind for the separator
+    left, at = [], 0
+    for lo, hi in covered:
+        left.append(line[at : begin[lo] - 1])
+        at = int(begin[hi]) - 1 if hi < len(begin) else len(line)
+    left.append(line[at:])
+    return "".join(left).strip(), len(covered)
+
+
+def _strip(min_words: int, window: int, reach: int):
+    """Remove the listed paragraphs and shared windows of each document."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_paragraphs", pa.int32()), ("n_removed", pa.int32()), ("kept_in", pa.list_(pa.int64())), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,15 +131,26 @@ def _strip(min_words: int):
             out: list[list] = [[] for _ in range(5)]
             for text, doc_id, gone in zip(texts, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 lines = text.split("\n")
-                drop = {g["par"]: g["keep"] for g in gone or ()}
+                drop = {g["par"]: g["keep"] for g in gone or () if g["par"] is not None}
+                shared = {g["hash"]: g["keep"] for g in gone or () if g["par"] is None}
+                kept, removed = [], len(drop)
+                for k, line in enumerate(lines):
+                    if k in drop:
+                        continue
+                    if shared and len(line.split()) >= min_words:
+                        line, cuts = cut_windows(line, set(shared), window, reach)
+                        removed += cuts
+                        if cuts and not line:
+                            continue
+                    kept.append(line)
                 for column, value in zip(
                     out,
                     (
                         doc_id,
                         sum(len(x.split()) >= min_words for x in lines),
-                        len(drop),
-                        sorted({k for k in drop.values() if k is not None}),
-                        "\n".join(x for k, x in enumerate(lines) if k not in drop) if drop else text,
+                        removed,
+                        sorted({k for k in [*drop.values(), *shared.values()] if k is not None}),
+                        "\n".join(kept) if removed else text,
                     ),
                     strict=True,
                 ):
@@ -112,21 +164,25 @@ def dedup_paragraphs(
     docs: DataFrame,
     threshold: float = 0.8,
     shingle: int = 5,
-    rows: int = 4,
+    rows: int = 3,
     recall: float = 0.995,
     min_words: int = 8,
+    window: int = 20,
+    reach: int = 20,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row per document: doc_id, n_paragraphs, n_removed, kept_in (doc_ids), text.
 
-    ``kept_in`` lists the documents that keep the first occurrence of what was removed here.
+    ``n_removed`` counts the paragraphs and the passages inside of paragraphs; ``kept_in`` lists the documents that keep the first occurrence of what was removed here.
     """
     spark = docs.sparkSession
     stage = Stage(spark, "paragraph-dedup")
     d = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("id"))
     signed = stage.table(
-        d.mapInArrow(_sign(band_count(rows, threshold, recall), rows, shingle, min_words), "id long, par int, node long, keys array<long>")
+        d.mapInArrow(
+            _sign(band_count(rows, threshold, recall), rows, shingle, min_words, window, reach), "id long, par int, node long, keys array<long>, windows array<long>"
+        )
     )
     nodes = stage.table(signed.groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("keys").alias("keys")))
 
@@ -140,12 +196,17 @@ def dedup_paragraphs(
     # Only paragraphs with a copy or a link can go; the rest needs no shuffle.
     shared = nodes.join(roots, "node", "left").where("size > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"))
     places = signed.select("id", "par", "node").join(shared, "node").select("root", F.struct(F.col("id").isNull().alias("none"), "id", "par").alias("place"))
-    first = places.groupBy("root").agg(F.min("place").alias("first"))
-    gone = (
-        places.join(first, "root")
-        .where("place <> first")
-        .groupBy(F.col("place.id").alias("gid"))
-        .agg(F.collect_list(F.struct(F.col("place.par").alias("par"), F.col("first.id").alias("keep"))).alias("gone"))
+    first = stage.table(places.groupBy("root").agg(F.min("place").alias("first")))
+    removed = stage.table(
+        places.join(first, "root").where("place <> first").select(F.col("place.id").alias("id"), F.col("place.par").alias("par"), F.col("first.id").alias("keep"))
     )
+    # Windows of what is left that lie in several documents; the smallest doc_id keeps them.
+    here = signed["id"].eqNullSafe(removed["id"]) & (signed["par"] == removed["par"])
+    left = signed.where("id is not null and size(windows) > 0").join(removed.hint("merge"), here, "left_anti").select("id", F.explode("windows").alias("hash"))
+    holders = left.groupBy("hash").agg(F.min("id").alias("keep"), F.max("id").alias("other"))
+    shared = stage.table(holders.where("keep <> other").select("hash", "keep"))
+    cut = left.join(shared.hint("merge"), "hash").where("id <> keep").select("id", F.lit(None).cast("int").alias("par"), "keep", "hash")
+    lost = removed.withColumn("hash", F.lit(None).cast("long")).unionByName(cut)
+    gone = lost.groupBy(F.col("id").alias("gid")).agg(F.collect_set(F.struct("par", "keep", "hash")).alias("gone"))
     marked = d.join(gone.hint("merge"), d["id"].eqNullSafe(gone["gid"]), "left").select("text", "id", "gone")
-    return marked.mapInArrow(_strip(min_words), "doc_id long, n_paragraphs int, n_removed int, kept_in array<long>, text string")
+    return marked.mapInArrow(_strip(min_words, window, reach), "doc_id long, n_paragraphs int, n_removed int, kept_in array<long>, text string")

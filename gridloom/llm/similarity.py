@@ -17,45 +17,83 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import Stage
-from .vectext import codes_of, mix64, word_hashes, word_spans
+from .vectext import codes_of, mix64, pieces, word_hashes, word_spans
 
 #: Most nodes of one block; a unit compares two blocks.
 BLOCK = 256
 
 
+def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in a row, and where each text's begin (with the end of the last)."""
+    hashed, of = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
+    for parts, owners in pieces(texts):
+        codes, starts = codes_of(parts)
+        begin, end = word_spans(codes)
+        hashed.append(word_hashes(codes, begin, end))
+        of.append(owners[np.searchsorted(starts, begin, side="right") - 1])
+    return np.concatenate(hashed), np.searchsorted(np.concatenate(of), np.arange(len(texts) + 1))
+
+
+def rolling(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` words from each place on; too few are left at the end for the last."""
+    usable = max(0, len(words) - size + 1)
+    out = np.zeros(usable, dtype=np.uint64)
+    for j in range(size if usable else 0):
+        out = mix64(out * np.uint64(0x100000001B3) + words[j : j + usable])
+    return out
+
+
 def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's word shingles.
 
     Words are runs of lower-case letters and digits. A text of fewer words than ``size`` has
     one shingle, all its words; a text without words has none.
     """
-    codes, starts = codes_of(texts)
-    begin, end = word_spans(codes)
-    words = word_hashes(codes, begin, end)
-    owner = np.searchsorted(starts, begin, side="right") - 1
-    bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-    whole = np.zeros(len(words), dtype=np.uint64)
-    usable = max(0, len(words) - size + 1)
-    if usable:
-        rolled = np.zeros(usable, dtype=np.uint64)
-        for j in range(size):
-            rolled = mix64(rolled * np.uint64(0x100000001B3) + words[j : j + usable])
-        whole[:usable] = rolled
+    return sets_of(*hashed_words(texts), size)
+
+
+def sets_of(words: np.ndarray, bounds: np.ndarray, size: int) -> list[np.ndarray]:
+    whole = rolling(words, size)
     out = []
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         n = hi - lo
         if n >= size:
             out.append(np.unique(whole[lo : hi - size + 1]))
         elif n:
-            h = np.zeros(1, dtype=np.uint64)
-            for w in words[lo:hi]:
-                h = mix64(h * np.uint64(0x100000001B3) + w)
-            out.append(h + np.uint64(n))
+            out.append(rolling(words[lo:hi], n) + np.uint64(n))
         else:
             out.append(np.empty(0, dtype=np.uint64))
     return out
 
 
+def winnowed(words: np.ndarray, bounds: np.ndarray, size: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the selected windows of ``size`` words.
+
+    Of any ``reach`` neighbouring windows of a text the one with the smallest hash is selected,
+    so texts that share ``size + reach - 1`` words in a row share a selected window.
+    """
+    h = rolling(words, size)
+    if not len(h):
+        return np.empty(0, dtype=np.int64), h
+    text = np.searchsorted(bounds, np.arange(len(h)), side="right") - 1
+    last = bounds[text + 1] - size  # the last window of the text
+    at = np.arange(len(h))
+    inside = at <= last
+    ranked = np.where(inside, h, np.iinfo(np.uint64).max)
+    padded = np.concatenate([ranked, np.full(reach - 1, np.iinfo(np.uint64).max, dtype=np.uint64)])
+    whole = inside & ((at + reach - 1 <= last) | (at == bounds[text]))  # or all windows of a shorter text
+    starts = np.flatnonzero(whole)
+    best, where = padded[starts].copy(), starts.copy()
+    for j in range(1, reach):
+        value = padded[starts + j]
+        less = value < best
+        # A window beyond the text has the largest hash and never wins.
+        best[less] = value[less]
+        where[less] = starts[less] + j
+    where = np.unique(where)
+    return where, h[where]
+
+
 def signature_keys(sets: list[np.ndarray], groups: int, depth: int, seed: int = 20_011) -> np.ndarray:
     """(items, groups) int64 keys, each over ``depth`` minima; rows of empty sets are 0."""
     keys = np.zeros((len(sets), groups), dtype=np.uint64)
@@ -218,7 +256,8 @@ def verified_links(
     distinct (node, rep) that have a pair to verify and gives their (node, shingles).
     """
     keyed = nodes.select("node", F.posexplode("keys").alias("grp", "key"))
-    full = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    # Written, so that the join below has exchanges on both sides and splits at a hot key.
+    full = stage.table(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
     met = keyed.join(full, "key").select("key", "grp", "node", F.ceil(F.col("members") / F.lit(float(block))).cast("int").alias("blocks"))
     met = met.join(nodes.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).drop("n")
     own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
@@ -235,6 +274,6 @@ def verified_links(
     rows = need.drop("rep").join(sets, "node").select("key", "lo", "hi", "node", "block", "size", "keys", "grp", "shingles")
     found = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_verified(threshold), "node long, links long, root long")
     links = stage.table(found)
-    stage.drop(need)
-    stage.drop(sets)
+    for done in (full, need, sets):
+        stage.drop(done)
     return links

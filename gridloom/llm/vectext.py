@@ -29,16 +29,23 @@ def is_word(codes: np.ndarray) -> np.ndarray:
     return _table("alnum")[codes]
 
 
+def lowered(text: str) -> str:
+    """Lower case, character by character where the whole would change its length."""
+    whole = text.lower()
+    if len(whole) == len(text):
+        return whole
+    return "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+
+
 def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Lower-case code points of all texts, each behind and before a 0; starts[i] is that of text i.
 
     ``starts`` has one entry more than there are texts: the position past the last separator.
     """
-    lowered = [t.lower() for t in texts]
-    joined = "\0" + "".join(t + "\0" for t in lowered)
+    joined = "\0" + "".join(lowered(t) + "\0" for t in texts)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     starts = np.ones(len(texts) + 1, dtype=np.int64)
-    np.cumsum([len(t) + 1 for t in lowered], out=starts[1:])
+    np.cumsum([len(t) + 1 for t in texts], out=starts[1:])
     starts[1:] += 1
     return codes, starts
 

@@ -7,7 +7,7 @@ import pytest
 from gridloom.llm import similarity
 from gridloom.llm.components import connected_components
 from gridloom.llm.ngram_join import forest_depth, keep_one_of_each, similar_documents
-from gridloom.llm.paragraph_dedup import band_count, dedup_paragraphs
+from gridloom.llm.paragraph_dedup import band_count, cut_windows, dedup_paragraphs
 from gridloom.llm.staging import Stage
 
 
@@ -137,11 +137,54 @@ def test_paragraphs_match_brute_force(spark, make_docs, corpus):
     passage = " ".join(f"shared{i}" for i in range(55))
     texts = [f"{t}\n{passage} tail{i}" if i % 5 == 0 and t else t for i, t in enumerate(corpus)]
     rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
-    got = sorted((r.doc_id, r.n_paragraphs, r.n_removed, list(r.kept_in), r.text) for r in dedup_paragraphs(make_docs(rows)).collect())
+    got = sorted((r.doc_id, r.n_paragraphs, r.n_removed, list(r.kept_in), r.text) for r in dedup_paragraphs(make_docs(rows), window=10**6).collect())
     assert got == brute_paragraphs([(r[0], r[1]) for r in rows])
     assert sum(passage in g[4] for g in got) == 1
 
 
+def test_windows_of_shared_words_are_selected():
+    rng = random.Random(4)
+    passage = [f"p{rng.randrange(10**6)}" for _ in range(39)]
+    for _ in range(30):
+        texts = [" ".join([*(f"a{rng.randrange(10**6)}" for _ in range(rng.randrange(60))), *passage, *(f"b{rng.randrange(10**6)}" for _ in range(rng.randrange(60)))]) for _ in range(2)]
+        words, bounds = similarity.hashed_words([*texts, "too short", ""])
+        where, h = similarity.winnowed(words, bounds, 20, 20)
+        text = np.searchsorted(bounds, where, side="right") - 1
+        assert set(h[text == 0]) & set(h[text == 1]) and not (text > 1).any()
+        assert ((where + 20) <= bounds[text + 1]).all()
+    thirty = " ".join(f"w{i}" for i in range(30))
+    words, bounds = similarity.hashed_words([thirty, "x " + thirty])
+    assert len(similarity.winnowed(words, bounds, 20, 20)[0]) >= 2
+
+
+def test_cutting_keeps_what_is_around():
+    from gridloom.llm.paragraph_dedup import _windows
+
+    passage = " ".join(f"P{i}" for i in range(60))
+    line = f"Before, İ it; ({passage}) after it!"
+    shared = {h for place, h in _windows([line], 20, 20)[0] if 3 <= place <= 43}
+    left, cuts = cut_windows(line, shared, 20, 20)
+    assert cuts == 1 and left.startswith("Before, İ it") and left.endswith("after it!")
+    assert len(left.split()) <= 5 + 2 * 20 and cut_windows("short line", shared, 20, 20) == ("short line", 0)
+
+
+def test_passages_inside_paragraphs_are_kept_once(spark, make_docs):
+    rng = random.Random(12)
+    fresh = lambda n: " ".join(f"u{rng.randrange(10**7)}" for _ in range(n))
+    passage = fresh(55)
+    texts = [f"{fresh(10)}\n{fresh(rng.randrange(5, 90))} {passage} {fresh(rng.randrange(5, 90))}" if i % 3 == 0 else fresh(100) for i in range(30)]
+    out = {r.doc_id: r for r in dedup_paragraphs(make_docs([(i + 5, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    runs = {tuple(passage.split()[i : i + 39]) for i in range(17)}
+    for i, t in enumerate(texts):
+        r = out[i + 5]
+        if i % 3 or i == 0:
+            assert r.text == t and r.n_removed == 0 and not r.kept_in
+        else:
+            left = r.text.split()
+            assert not any(tuple(left[k : k + 39]) in runs for k in range(len(left))) and r.n_removed >= 1 and 5 in r.kept_in
+            assert len(t.split()) - len(left) >= 20 and t.split()[:12] == r.text.split()[:12] and t.split()[-5:] == r.text.split()[-5:]
+
+
 def test_paragraph_edges(spark, make_docs):
     assert dedup_paragraphs(make_docs([])).count() == 0
     line = "a b c d e f g h i j"
