@@ -100,7 +100,7 @@ def similar_documents(
         .join(per_node, "node", "left")
         .select("node", "size", "rep", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     )
-    classes = named.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("size").alias("class_size"))
+    classes = stage.table(named.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("size").alias("class_size")))
     of_node = stage.table(named.join(classes, "root").select("node", "class_id", "class_size", (F.col("links") + F.col("size") - 1).alias("n_links")))
     lone = signed.where("words = 0").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
     return some.select("id", "node").join(of_node, "node").select(F.col("id").alias("doc_id"), "class_id", "class_size", "n_links").unionByName(lone)
