@@ -187,9 +187,8 @@ def recurring_lines(
 
     def rich(by: str) -> DataFrame:
         """Leaves that several lines reach and whose lines could together recur often enough."""
-        return lines.groupBy(by).agg(F.count(F.lit(1)).alias(f"{by}_lines"), F.sum("texts").alias(f"{by}_texts")).where(
-            (F.col(f"{by}_lines") > 1) & (F.col(f"{by}_texts") >= min_docs)
-        )
+        found = lines.groupBy(by).agg(F.count(F.lit(1)).alias(f"{by}_lines"), F.sum("texts").alias(f"{by}_texts"))
+        return stage.table(found.where((F.col(f"{by}_lines") > 1) & (F.col(f"{by}_texts") >= min_docs)))
 
     joined = lines.join(rich("leaf"), "leaf", "left").join(rich("deeper"), "deeper", "left")
     fits, fits_deeper = F.col("leaf_lines") <= leaf_lines, F.col("deeper_lines") <= leaf_lines
