@@ -50,27 +50,17 @@ def _paragraphs(texts: list[str], min_words: int) -> tuple[list[str], list[int],
     return lines, owner, number
 
 
-def _windows(lines: list[str], window: int, reach: int, hashed=None) -> list[list[tuple[int, int]]]:
-    """(first word, hash) of the selected windows of each line."""
-    words, bounds = hashed or hashed_words(lines)
-    where, hashes = winnowed(words, bounds, window, reach)
-    out: list[list[tuple[int, int]]] = [[] for _ in lines]
-    line = np.searchsorted(bounds, where, side="right") - 1
-    for i, place, h in zip(line.tolist(), (where - bounds[line]).tolist(), hashes.view(np.int64).tolist(), strict=True):
-        out[i].append((place, h))
-    return out
-
-
 def _sign(bands: int, rows: int, shingle: int, min_words: int, window: int, reach: int):
     schema = pa.schema([("id", pa.int64()), ("par", pa.int32()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("windows", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, 0):
+        for batch, texts in chunks(batches, 0, 500_000):
             ids = batch.column(1).to_pylist()
             lines, owner, number = _paragraphs(texts, min_words)
             words, bounds = hashed_words(lines)
             sets = sets_of(words, bounds, shingle)
-            windows = _windows(lines, window, reach, (words, bounds))
+            where, hashes = winnowed(words, bounds, window, reach)
+            windows = pa.ListArray.from_arrays(pa.array(np.searchsorted(where, bounds).astype(np.int32)), pa.array(hashes.view(np.int64)))
             keep = [i for i, s in enumerate(sets) if len(s)]
             sets = [sets[i] for i in keep]
             keys = signature_keys(sets, bands, rows)
@@ -79,8 +69,8 @@ def _sign(bands: int, rows: int, shingle: int, min_words: int, window: int, reac
                     pa.array([ids[owner[i]] for i in keep], pa.int64()),
                     pa.array([number[i] for i in keep], pa.int32()),
                     pa.array(node_ids(sets), pa.int64()),
-                    pa.array(list(keys), pa.list_(pa.int64())),
-                    pa.array([[h for _, h in windows[i]] for i in keep], pa.list_(pa.int64())),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * bands), pa.array(keys.ravel())),
+                    windows.take(pa.array(keep, pa.int64())),
                 ],
                 schema=schema,
             )
@@ -105,7 +95,8 @@ def _wanted_sets(shingle: int, min_words: int):
 def cut_windows(line: str, shared: set[int], window: int, reach: int) -> tuple[str, int]:
     """The line without the runs of words that its shared windows cover, and how many runs."""
     covered: list[list[int]] = []
-    for place, h in _windows([line], window, reach)[0]:
+    where, hashes = winnowed(*hashed_words([line]), window, reach)
+    for place, h in zip(where.tolist(), hashes.view(np.int64).tolist(), strict=True):
         if h in shared:
             if covered and place <= covered[-1][1] + 1:
                 covered[-1][1] = max(covered[-1][1], place + window)

@@ -66,31 +66,39 @@ def sets_of(words: np.ndarray, bounds: np.ndarray, size: int) -> list[np.ndarray
     return out
 
 
+def _sliding(x: np.ndarray, width: int, join) -> np.ndarray:
+    """join over the ``width`` entries from each place on, by doubling."""
+    out, have = x, 1
+    while have < width:
+        step = min(have, width - have)
+        out = join(out[: len(out) - step], out[step:])
+        have += step
+    return out
+
+
 def winnowed(words: np.ndarray, bounds: np.ndarray, size: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the selected windows of ``size`` words.
+    """Places and hashes of the selected windows of ``size`` words; ``reach`` is at most ``size``.
 
     Of any ``reach`` neighbouring windows of a text the one with the smallest hash is selected,
-    so texts that share ``size + reach - 1`` words in a row share a selected window.
+    so texts that share ``size + reach - 1`` words in a row share a selected window. A text of
+    fewer windows has one group, all of them.
     """
     h = rolling(words, size)
     if not len(h):
         return np.empty(0, dtype=np.int64), h
-    text = np.searchsorted(bounds, np.arange(len(h)), side="right") - 1
-    last = bounds[text + 1] - size  # the last window of the text
     at = np.arange(len(h))
+    text = np.searchsorted(bounds, at, side="right") - 1
+    last = bounds[text + 1] - size  # the last window of the text
     inside = at <= last
-    ranked = np.where(inside, h, np.iinfo(np.uint64).max)
-    padded = np.concatenate([ranked, np.full(reach - 1, np.iinfo(np.uint64).max, dtype=np.uint64)])
-    whole = inside & ((at + reach - 1 <= last) | (at == bounds[text]))  # or all windows of a shorter text
-    starts = np.flatnonzero(whole)
-    best, where = padded[starts].copy(), starts.copy()
-    for j in range(1, reach):
-        value = padded[starts + j]
-        less = value < best
-        # A window beyond the text has the largest hash and never wins.
-        best[less] = value[less]
-        where[less] = starts[less] + j
-    where = np.unique(where)
+    whole = inside & ((at + reach - 1 <= last) | (at == bounds[text]))
+    # Behind a text's last window lie size - 1 places that hold no window, so no group of a
+    # short text reaches the next one.
+    highest = np.iinfo(np.uint64).max
+    ranked = np.concatenate([np.where(inside, h, highest), np.full(reach - 1, highest, dtype=np.uint64)])
+    least = np.where(whole, _sliding(ranked, reach, np.minimum), np.uint64(0))
+    # A window is the smallest of one of its groups if the greatest of their minima is its own.
+    groups = _sliding(np.concatenate([np.zeros(reach - 1, dtype=np.uint64), least]), reach, np.maximum)
+    where = np.flatnonzero(inside & (groups == h))
     return where, h[where]
 
 

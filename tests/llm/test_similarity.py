@@ -157,12 +157,24 @@ def test_windows_of_shared_words_are_selected():
     assert len(similarity.winnowed(words, bounds, 20, 20)[0]) >= 2
 
 
-def test_cutting_keeps_what_is_around():
-    from gridloom.llm.paragraph_dedup import _windows
+def test_winnowing_matches_its_definition():
+    rng = np.random.default_rng(2)
+    lengths = [0, 3, 19, 20, 21, 39, 40, 90, 1, 25]
+    words = rng.integers(0, 1 << 60, sum(lengths)).astype(np.uint64)
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    h, want = similarity.rolling(words, 20), set()
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        own = list(range(lo, hi - 19))
+        for k in range(max(1, len(own) - 19)) if own else ():
+            want.add(min(own[k : k + 20], key=lambda i: h[i]))
+    assert similarity.winnowed(words, bounds, 20, 20)[0].tolist() == sorted(want)
+
 
+def test_cutting_keeps_what_is_around():
     passage = " ".join(f"P{i}" for i in range(60))
     line = f"Before, İ it; ({passage}) after it!"
-    shared = {h for place, h in _windows([line], 20, 20)[0] if 3 <= place <= 43}
+    where, hashes = similarity.winnowed(*similarity.hashed_words([line]), 20, 20)
+    shared = {h for place, h in zip(where.tolist(), hashes.view(np.int64).tolist()) if 3 <= place <= 43}
     left, cuts = cut_windows(line, shared, 20, 20)
     assert cuts == 1 and left.startswith("Before, İ it") and left.endswith("after it!")
     assert len(left.split()) <= 5 + 2 * 20 and cut_windows("short line", shared, 20, 20) == ("short line", 0)
