@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from .errors import DataError, DimensionError, DuplicateNameError, NonNumericDimensionError, VariableError
 from .functions import numeric as n
-from .plans.history import Entry, History, Provenance, Step
+from .plans.history import History, Provenance, Step
 
 DATAPOINT = "datapoint"
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import DimensionError, UncertaintyLineageError, VariableError
+from ..errors import DimensionError, UncertaintyLineageError
 from ..functions import numeric as n
 from ..functions.units import coefficients
 from ..grid import Grid, Var, col, tag, u_rand, u_sys
@@ -146,9 +146,3 @@ def integrate(grid: Grid, var: str, over: str | Sequence[str], coords: str | Non
         out = _integrate_one(out, var, x, coords == "polar" and i == 0, degrees.get(x, False), skipna)
     result = Var(None, spec.description, spec.long_name, **{k: getattr(out.vars[var], k) for k in ("sys", "rand", "tagged", "absent_tag")})
     return replace(out, vars={var: replace(result, unit=spec.unit)}, roots={var: grid.roots[var]} if var in grid.roots else {}, note=note)
-
-
-def check_numeric(grid: Grid, names: Sequence[str]) -> None:
-    for v in names:
-        if v not in grid.vars:
-            raise VariableError(v, "is not a variable", "Variables are: " + ", ".join(grid.vars))

@@ -8,7 +8,7 @@ interpolation, reductions over the whole grid) refuses a stream.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +21,17 @@ from ..plans.history import Provenance, current_user, now
 ROW_WISE = frozenset(("compute", "set_uncertainty", "set_metadata", "set_correlation", "drop_correlation", "register_axis", "declare_vector", "rotate", "translate_moments"))
 
 
+@dataclass(frozen=True, eq=False)
+class _Carrying(Grid):
+    """Datapoints whose other columns stay in every projection."""
+
+    carried: tuple[str, ...] = ()
+
+    @property
+    def dim_names(self) -> list[str]:
+        return list(self.carried)
+
+
 class StreamGrid:
     """A grid view of a stream of datapoints, limited to row-wise operations."""
 
@@ -66,19 +77,3 @@ def stream_grid(df: DataFrame, variables: Sequence[str]) -> StreamGrid:
     carried = [c for c in df.columns if c not in variables]
     return StreamGrid(_Carrying(**{f: getattr(grid, f) for f in grid.__dataclass_fields__}, carried=tuple(carried)) if carried else grid)
 
-
-from dataclasses import dataclass  # noqa: E402
-
-
-@dataclass(frozen=True, eq=False)
-class _Carrying(Grid):
-    """Columns besides the variables stay in every projection."""
-
-    carried: tuple[str, ...] = ()
-
-    @property
-    def dim_names(self) -> list[str]:
-        return list(self.carried)
-
-
-__all__ = ["ROW_WISE", "StreamGrid", "replace", "stream_grid"]
