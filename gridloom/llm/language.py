@@ -25,14 +25,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectext import chunks, codes_of, is_letter, mix64
+from .vectext import chunks, codes_of, is_letter, mix64, pieces
 
 DIMS = 4096
 _PART = 256
 
 
 def gram_counts(texts: list[str], dims: int) -> Iterator[np.ndarray]:
-    """Count matrices, ``_PART`` texts at a time. A gram belongs to the text of its middle letter."""
+    """Count matrices, ``_PART`` texts at a time; a longer text is counted in pieces."""
+    for lo in range(0, len(texts), _PART):
+        part = texts[lo : lo + _PART]
+        out = np.zeros((len(part), dims), dtype=np.int64)
+        for some, owners in pieces(part):
+            np.add.at(out, owners, _piece_counts(some, dims))
+        yield out
+
+
+def _piece_counts(texts: list[str], dims: int) -> np.ndarray:
+    """Counts of pairs and triples; a gram belongs to the text of its middle letter."""
     codes, starts = codes_of(texts)
     letter = is_letter(codes)
     keep = letter.copy()
@@ -41,18 +51,12 @@ def gram_counts(texts: list[str], dims: int) -> Iterator[np.ndarray]:
     at = np.flatnonzero(keep)
     c = np.where(letter[at], codes[at], np.uint32(32)).astype(np.uint64)
     middle = np.flatnonzero(c[1:-1] != 32) + 1
-    owner = np.searchsorted(starts, at[middle], side="right") - 1
+    base = (np.searchsorted(starts, at[middle], side="right") - 1) * dims
     triple = (c[middle - 1] * np.uint64(0x100000001B3) + c[middle]) * np.uint64(0x9E3779B97F4A7C15) + c[middle + 1]
     pair = (c[middle - 1] * np.uint64(0xD6E8FEB86659FD93)) ^ (c[middle] + np.uint64(7))
-    cell3 = (mix64(triple) % np.uint64(dims)).astype(np.int64)
-    cell2 = (mix64(pair) % np.uint64(dims)).astype(np.int64)
-    bounds = np.searchsorted(owner, np.arange(0, len(texts) + _PART, _PART))
-    for k, lo in enumerate(range(0, len(texts), _PART)):
-        n = min(_PART, len(texts) - lo)
-        s = slice(bounds[k], bounds[k + 1])
-        base = (owner[s] - lo) * dims
-        counts = np.bincount(base + cell3[s], minlength=n * dims) + np.bincount(base + cell2[s], minlength=n * dims)
-        yield counts.reshape(n, dims)
+    counts = np.bincount(base + (mix64(triple) % np.uint64(dims)).astype(np.int64), minlength=len(texts) * dims)
+    counts += np.bincount(base + (mix64(pair) % np.uint64(dims)).astype(np.int64), minlength=len(texts) * dims)
+    return counts.reshape(len(texts), dims)
 
 
 @dataclass(frozen=True)
