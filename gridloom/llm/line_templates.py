@@ -7,9 +7,12 @@ others becoming variable fields, too. A template that recurs in ``min_docs`` dif
 is dropped, but for the document with the smallest doc_id, which keeps its lines. Copies of a
 text count as one, so a copied document does not turn its own lines into templates.
 
-Leaves are merged in one task each. One of more than ``leaf_lines`` distinct lines is split
-by twice as many leading tokens, and where that does not suffice its lines are templates as
-they are; lines that agree in every constant token always share a template.
+A leaf of up to ``leaf_lines`` distinct lines is merged in one task. A larger one is dealt to
+parts of about that size, which are folded to templates in parallel; the templates of ``FAN``
+parts are merged by the same rule, round by round, until the leaf has one list of templates.
+No line is left out at any size. A line joins, of the templates that keep their constant part
+with it, the one it agrees with most; lines too short to vary in a token, or with too many
+variable fields, can only equal others and are not sent to leaves.
 
 Defined results: lines of fewer than ``min_tokens`` tokens stay; a null text stays null; rows
 that repeat a doc_id are one document; an empty table gives an empty result; columns of the
@@ -32,12 +35,14 @@ from .vectext import chunks, codes_of, mix64, word_hashes
 
 _VARIABLE = np.uint64(0x5EED5EED5EED5EED)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Parts of a leaf whose templates are merged in one task of a round.
+FAN = 8
 
 
 class Lines:
     """The lines of some texts with at least ``min_tokens`` tokens: token hashes and line keys."""
 
-    def __init__(self, texts: list[str], min_tokens: int, depth: int) -> None:
+    def __init__(self, texts: list[str], min_tokens: int, depth: int, similarity: float = 0.85) -> None:
         codes, starts = codes_of(texts)
         space = (codes == 32) | ((codes >= 9) & (codes <= 13)) | (codes == 0)
         edge = np.diff((~space).view(np.int8))
@@ -56,11 +61,10 @@ class Lines:
         size = mix64(count.astype(np.uint64))
         self.key = mix64(np.add.reduceat(placed, change) ^ size).view(np.int64) if len(change) else np.zeros(0, dtype=np.int64)
 
-        def leading(n: int) -> np.ndarray:
-            part = np.where(at < n, placed, np.uint64(0))
-            return mix64((np.add.reduceat(part, change) + _STEP) ^ size).view(np.int64) if len(change) else np.zeros(0, dtype=np.int64)
-
-        self.leaf, self.deeper = leading(depth), leading(2 * depth)
+        part = np.where(at < depth, placed, np.uint64(0))
+        self.leaf = mix64((np.add.reduceat(part, change) + _STEP) ^ size).view(np.int64) if len(change) else np.zeros(0, dtype=np.int64)
+        variable = np.add.reduceat(tokens == _VARIABLE, change, dtype=np.int64) if len(change) else np.zeros(0, dtype=np.int64)
+        self.merges = (count - np.maximum(variable, 1)) / count >= similarity  # can share a template with another line
         self.owner = np.searchsorted(starts, begin[change], side="right") - 1
         first_line = np.searchsorted(ends, starts[:-1])
         self.number = line[change] - first_line[self.owner]  # which line of its text
@@ -68,80 +72,107 @@ class Lines:
         self.change, self.count, self.tokens = change, count, tokens
 
 
-def _line_keys(min_tokens: int, depth: int):
-    schema = pa.schema([("id", pa.int64()), ("content", pa.int64()), ("line", pa.int64()), ("leaf", pa.int64()), ("deeper", pa.int64())])
+def _line_keys(min_tokens: int, depth: int, similarity: float):
+    """The lines of each text; the leaf is null where a line can only equal others."""
+    schema = pa.schema([("id", pa.int64()), ("content", pa.int64()), ("line", pa.int64()), ("leaf", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, 0):
-            lines = Lines(texts, min_tokens, depth)
+            lines = Lines(texts, min_tokens, depth, similarity)
             _, once = np.unique(np.stack([lines.owner, lines.key]), axis=1, return_index=True)
             once = once[lines.enough[once]]
             owner = lines.owner[once]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1).take(pa.array(owner)), batch.column(2).take(pa.array(owner)), pa.array(lines.key[once]), pa.array(lines.leaf[once]), pa.array(lines.deeper[once])],
+                [batch.column(1).take(pa.array(owner)), batch.column(2).take(pa.array(owner)), pa.array(lines.key[once]), pa.array(lines.leaf[once], mask=~lines.merges[once])],
                 schema=schema,
             )
 
     return run
 
 
+_DEALT = [("leaf", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("line", pa.int64())]
+
+
 def _line_tokens(min_tokens: int, depth: int):
-    """(line, leaf, tokens) of the wanted lines of each joined document."""
-    schema = pa.schema([("leaf", pa.int64()), ("line", pa.int64()), ("tokens", pa.binary())])
+    """(leaf, part, parts, line, tokens) of the wanted lines of each joined document."""
+    schema = pa.schema([*_DEALT, ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, 0):
-            wanted = [{w["line"]: w["at"] for w in ws} for ws in batch.column(1).to_pylist()]
+            wanted = [{w["line"]: (w["leaf"], w["part"], w["parts"]) for w in ws} for ws in batch.column(1).to_pylist()]
             lines = Lines(texts, min_tokens, depth)
             rows = {}
             for i, (key, owner) in enumerate(zip(lines.key.tolist(), lines.owner.tolist(), strict=True)):
                 if key in wanted[owner]:
                     lo = lines.change[i]
-                    rows[key] = (wanted[owner][key], lines.tokens[lo : lo + lines.count[i]].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([v[0] for v in rows.values()], pa.int64()), pa.array(list(rows), pa.int64()), pa.array([v[1] for v in rows.values()], pa.binary())], schema=schema
-            )
+                    rows[key] = (*wanted[owner][key], key, lines.tokens[lo : lo + lines.count[i]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([v[c] for v in rows.values()], f.type) for c, f in enumerate(schema)], schema=schema)
 
     return run
 
 
+def fold(rows: list[np.ndarray], similarity: float) -> tuple[list[int], np.ndarray]:
+    """The template number of each line, or template, in the order given, and the templates.
+
+    Two that can share a template agree, without a variable field, in at least one of as many
+    groups of columns as it may have variable fields, and one; only those are compared.
+    """
+    lines = np.stack(rows)
+    n, k = lines.shape
+    spare = int(np.flatnonzero((k - np.arange(k + 1)) / k >= similarity)[-1])  # variable fields of a template
+    varies = (lines != lines[0]).any(axis=0)
+    left = spare - int((lines[0][~varies] == _VARIABLE).sum())
+    if left < 0:
+        return list(range(n)), lines
+    groups = np.array_split(np.flatnonzero(varies), left + 1)
+    places = mix64(lines + np.arange(k, dtype=np.uint64) * _STEP)
+    hashes = [mix64(places[:, g].sum(axis=1, dtype=np.uint64)).tolist() for g in groups]
+    clean = [(lines[:, g] != _VARIABLE).all(axis=1).tolist() for g in groups]
+    held: list[dict[int, list[int]]] = [{} for _ in groups]
+    templates, count, out = lines.copy(), 0, []
+    for i, line in enumerate(lines):
+        keys = [(by, h[i]) for by, h, c in zip(held, hashes, clean, strict=True) if c[i]]
+        near = np.array(sorted({t for by, h in keys for t in by.get(h, ())}), dtype=np.int64)
+        if len(near):
+            some = templates[near]
+            agree = (some == line) | (some == _VARIABLE)
+            fits = ((some != line) | (some == _VARIABLE)).sum(axis=1) <= spare  # a template may not lose its constant part
+            best = int(np.where(fits, agree.sum(axis=1), -1).argmax())
+            if fits[best]:
+                templates[near[best]] = np.where(some[best] == line, line, _VARIABLE)
+                out.append(int(near[best]))
+                continue
+        templates[count] = line
+        for by, h in keys:
+            by.setdefault(h, []).append(count)
+        out.append(count)
+        count += 1
+    return out, templates[:count]
+
+
 def merge_leaf(rows: list[np.ndarray], similarity: float) -> list[int]:
     """The template number of each line of a leaf, in the order given."""
-    templates: np.ndarray | None = None
-    out: list[int] = []
-    for tokens in rows:
-        if templates is not None:
-            agree = ((templates == tokens) | (templates == _VARIABLE)).mean(axis=1)
-            best = int(agree.argmax())
-            if agree[best] >= similarity:
-                merged = np.where(templates[best] == tokens, tokens, _VARIABLE)
-                if (merged != _VARIABLE).mean() >= similarity:  # a template may not lose its constant part
-                    templates[best] = merged
-                    out.append(best)
-                    continue
-            templates = np.vstack([templates, tokens])
-        else:
-            templates = tokens[None, :].copy()
-        out.append(len(templates) - 1)
-    return out
+    return fold(rows, similarity)[0]
 
 
 def _merge(similarity: float):
-    schema = pa.schema([("line", pa.int64()), ("template", pa.int64())])
+    """The template of each line of a part; of a leaf in several parts, its tokens with its first line."""
+    schema = pa.schema([*_DEALT, ("template", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int]] = []
-        for _, (line, tokens) in _runs(batches, 1):
+        out: list[tuple] = []
+        for (leaf, part, parts), (line, tokens) in _runs(batches, 3):
             rows = dict(sorted(zip(line, tokens, strict=True)))
-            keys = list(rows)
-            number = merge_leaf([np.frombuffer(t, dtype=np.uint64) for t in rows.values()], similarity)
+            number, templates = fold([np.frombuffer(t, dtype=np.uint64) for t in rows.values()], similarity)
             head: dict[int, int] = {}
-            out += [(k, head.setdefault(n, k)) for k, n in zip(keys, number, strict=True)]
+            for k, n in zip(rows, number, strict=True):
+                first = n not in head
+                out.append((leaf, part, parts, k, head.setdefault(n, k), templates[n].tobytes() if first and parts > 1 else None))
             if len(out) >= 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
@@ -178,25 +209,35 @@ def recurring_lines(
     d = docs.select(text.alias("text"), F.col(id_col).cast("long").alias("id"))
     keyed = stage.table(
         d.select("text", "id", F.xxhash64("text").alias("content")).mapInArrow(
-            _line_keys(min_tokens, depth), "id long, content long, line long, leaf long, deeper long"
+            _line_keys(min_tokens, depth, similarity), "id long, content long, line long, leaf long"
         )
     )
     # Distinct texts per line: copies fold before anything is counted.
-    once = keyed.groupBy("line", "leaf", "deeper", "content").agg(F.min("id").alias("id"))
-    lines = stage.table(once.groupBy("line", "leaf", "deeper").agg(F.count(F.lit(1)).alias("texts"), F.min("id").alias("first")))
-
-    def rich(by: str) -> DataFrame:
-        """Leaves that several lines reach and whose lines could together recur often enough."""
-        found = lines.groupBy(by).agg(F.count(F.lit(1)).alias(f"{by}_lines"), F.sum("texts").alias(f"{by}_texts"))
-        return stage.table(found.where((F.col(f"{by}_lines") > 1) & (F.col(f"{by}_texts") >= min_docs)))
-
-    joined = lines.join(rich("leaf"), "leaf", "left").join(rich("deeper"), "deeper", "left")
-    fits, fits_deeper = F.col("leaf_lines") <= leaf_lines, F.col("deeper_lines") <= leaf_lines
-    at = F.when(fits, F.col("leaf")).when(F.col("leaf_lines").isNotNull() & fits_deeper, F.col("deeper"))
-    crowded = stage.table(joined.select("line", "first", at.alias("at")).where("at is not null"))
-    wanted = stage.table(crowded.groupBy("first").agg(F.collect_list(F.struct("line", "at")).alias("wanted")))
-    tokens = d.join(wanted, d["id"].eqNullSafe(wanted["first"])).select("text", "wanted").mapInArrow(_line_tokens(min_tokens, depth), "leaf long, line long, tokens binary")
-    merged = stage.table(tokens.repartition("leaf").sortWithinPartitions("leaf", "line").mapInArrow(_merge(similarity), "line long, template long"))
+    once = keyed.groupBy("line", "leaf", "content").agg(F.min("id").alias("id"))
+    lines = stage.table(once.groupBy("line", "leaf").agg(F.count(F.lit(1)).alias("texts"), F.min("id").alias("first")))
+    # Leaves that several lines reach and whose lines could together recur often enough.
+    reached = lines.where("leaf is not null").groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum("texts").alias("texts"))
+    rich = stage.table(reached.where((F.col("n") > 1) & (F.col("texts") >= min_docs)).select("leaf", F.ceil(F.col("n") / leaf_lines).cast("int").alias("parts")))
+    crowded = stage.table(lines.join(rich, "leaf").select("line", "first", "leaf", F.pmod("line", "parts").cast("int").alias("part"), "parts"))
+    wanted = stage.table(crowded.groupBy("first").agg(F.collect_list(F.struct("line", "leaf", "part", "parts")).alias("wanted")))
+    # The lines of crowded leaves grow with the corpus, so the join is planned for that at every size.
+    tokens = d.join(wanted.hint("merge"), d["id"].eqNullSafe(wanted["first"])).select("text", "wanted").mapInArrow(
+        _line_tokens(min_tokens, depth), "leaf long, part int, parts int, line long, tokens binary"
+    )
+
+    def templates(dealt: DataFrame) -> DataFrame:
+        ordered = dealt.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "line")
+        return stage.table(ordered.mapInArrow(_merge(similarity), "leaf long, part int, parts int, line long, template long, tokens binary"))
+
+    level = templates(tokens)
+    merged = level.select("line", "template")
+    parts = rich.agg(F.max("parts")).first()[0] or 1
+    while parts > 1:
+        heads = level.where("parts > 1 and tokens is not null")
+        level = templates(heads.select("leaf", F.floor(F.col("part") / FAN).cast("int").alias("part"), F.ceil(F.col("parts") / FAN).cast("int").alias("parts"), "line", "tokens"))
+        higher = level.select(F.col("line").alias("template"), F.col("template").alias("higher"))
+        merged = stage.table(merged.join(higher, "template", "left").select("line", F.coalesce("higher", "template").alias("template")))
+        parts = -(-parts // FAN)
     # A line that shares a template counts with it; any other is its own template.
     shared = merged.groupBy("template").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("template")
     grouped = stage.table(merged.join(shared, "template"))

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from gridloom.llm.line_templates import Lines, drop_recurring_lines, merge_leaf
+from gridloom.llm.line_templates import Lines, drop_recurring_lines, fold, merge_leaf
 
 
 def brute(rows, min_docs=5, depth=4, similarity=0.85, min_tokens=3):
@@ -103,6 +103,33 @@ def test_crowded_leaves_still_drop_equal_lines(spark, make_docs):
     assert sum("rights reserved" in (r.text or "") for r in got) == 1
 
 
+def test_fold_compares_all_that_could_share_a_template():
+    rng = random.Random(8)
+    for length in (7, 14, 20):
+        lines = []
+        for _ in range(150):
+            line = np.arange(length, dtype=np.uint64)
+            line[4 : 4 + rng.randrange(4)] += np.uint64(rng.randrange(5))
+            line[length - 1] += np.uint64(rng.randrange(40))
+            lines.append(line)
+        number, templates = fold(lines, 0.85)
+        variable = templates == np.uint64(0x5EED5EED5EED5EED)
+        assert (variable.mean(axis=1) <= 0.15 + 1e-9).all()
+        assert all(((templates[n] == x) | variable[n]).all() for n, x in zip(number, lines, strict=True))
+        for a in range(len(templates)):
+            for b in range(a):
+                assert ((templates[a] != templates[b]) | variable[a] | variable[b]).mean() > 0.15
+
+
+def test_crowded_leaves_merge_like_small_ones(spark, make_docs):
+    rows = rows_of(random.Random(7))
+    rows += [(300 + k, f"The whole team of reporters in the north wishes you a very fine q{chr(97 + k % 26)}{chr(97 + k // 26)} today") for k in range(60)]
+    for leaf_lines in (1, 7, 2000):
+        got = drop_recurring_lines(make_docs([(i, t, "en", "s") for i, t in rows]), leaf_lines=leaf_lines).selectExpr("row.doc_id", "n_dropped", "text").collect()
+        assert sorted(((r.doc_id, r.n_dropped, r.text) for r in got), key=repr) == brute(rows)
+        assert sum("very fine" in (r.text or "") for r in got) == 1
+
+
 def test_edges(spark, make_docs):
     assert drop_recurring_lines(make_docs([])).count() == 0
     df = make_docs([(i, f"same old line here\nown w{i}x", None, None) for i in range(6)] + [(None, "same old line here", None, None)]).selectExpr("*", "1 as id", "2 as lines", "3 as n_dropped", "4 as key_id")
