@@ -1,7 +1,8 @@
 """Line deduplication with a log-template tree.
 
 A line is its lower-case tokens between white space; a token with a digit is a variable
-field. The tree has fixed depth: token count, then ``depth`` leading tokens. Lines that reach
+field, but in lines of fewer than ``SHORT`` tokens, which only share a template when they are
+equal. The tree has fixed depth: token count, then ``depth`` leading tokens. Lines that reach
 one leaf are merged into a template where at least ``similarity`` of their tokens agree, the
 others becoming variable fields, too. A template that recurs in ``min_docs`` different texts
 is dropped, but for the document with the smallest doc_id, which keeps its lines. Copies of a
@@ -14,9 +15,10 @@ No line is left out at any size. A line joins, of the templates that keep their
 with it, the one it agrees with most; lines too short to vary in a token, or with too many
 variable fields, can only equal others and are not sent to leaves.
 
-Defined results: lines of fewer than ``min_tokens`` tokens stay; a null text stays null; rows
-that repeat a doc_id are one document; an empty table gives an empty result; columns of the
-input are returned as they are, whatever their names, but for the text.
+Defined results: lines of fewer than ``min_tokens`` tokens stay, by default only those without
+any; a null text stays null; rows that repeat a doc_id are one document; an empty table gives
+an empty result; columns of the input are returned as they are, whatever their names, but for
+the text.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from .vectext import chunks, codes_of, mix64, word_hashes
 
 _VARIABLE = np.uint64(0x5EED5EED5EED5EED)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Lines of fewer tokens have no variable fields.
+SHORT = 3
 #: Parts of a leaf whose templates are merged in one task of a round.
 FAN = 8
 
@@ -49,13 +53,13 @@ class Lines:
         begin, end = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
         tokens = word_hashes(codes, begin, end)
         digits = np.add.reduceat((codes >= 48) & (codes <= 57), begin) if len(begin) else np.zeros(0, dtype=int)
-        tokens[np.asarray(digits, dtype=np.int64) > 0] = _VARIABLE
         stop = codes == 10
         stop[starts[1:] - 1] = stop[0] = True
         ends = np.flatnonzero(stop)  # a line ends before each of these
         line = np.searchsorted(ends, begin)
         change = np.flatnonzero(np.diff(line, prepend=-1))
         count = np.diff(np.append(change, len(line)))
+        tokens[(np.asarray(digits, dtype=np.int64) > 0) & (np.repeat(count, count) >= SHORT)] = _VARIABLE
         at = np.arange(len(line)) - np.repeat(change, count)
         placed = mix64(tokens + at.astype(np.uint64) * _STEP)
         size = mix64(count.astype(np.uint64))
@@ -258,7 +262,7 @@ def drop_recurring_lines(
     min_docs: int = 5,
     depth: int = 4,
     similarity: float = 0.85,
-    min_tokens: int = 3,
+    min_tokens: int = 1,
     leaf_lines: int = 2000,
     id_col: str = "doc_id",
     text_col: str = "text",

@@ -130,6 +130,16 @@ def test_crowded_leaves_merge_like_small_ones(spark, make_docs):
         assert sum("very fine" in (r.text or "") for r in got) == 1
 
 
+def test_short_lines_take_part(spark, make_docs):
+    rows = rows_of(random.Random(9))
+    rows = [(i, f"{t}\nles.\n\nand ornd." if t and i < 80 and i % 9 == 0 else t) for i, t in rows]
+    got = drop_recurring_lines(make_docs([(i, t, "en", "s") for i, t in rows])).selectExpr("row.doc_id", "n_dropped", "text").collect()
+    assert sorted(((r.doc_id, r.n_dropped, r.text) for r in got), key=repr) == brute(rows, min_tokens=1)
+    pages = drop_recurring_lines(make_docs([f"page {i}\npage 7\nown w{i}x here" for i in range(6)])).collect()
+    assert sorted(r.text.split("\n")[0] for r in pages) == [f"page {i}" for i in range(6)] and sum("page 7" in r.text for r in pages) == 1
+    assert [r.doc_id for r in got if "and ornd." in (r.text or "")] == [0] == [r.doc_id for r in got if "les." in (r.text or "")]
+
+
 def test_edges(spark, make_docs):
     assert drop_recurring_lines(make_docs([])).count() == 0
     df = make_docs([(i, f"same old line here\nown w{i}x", None, None) for i in range(6)] + [(None, "same old line here", None, None)]).selectExpr("*", "1 as id", "2 as lines", "3 as n_dropped", "4 as key_id")
