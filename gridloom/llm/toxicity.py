@@ -7,11 +7,12 @@ Text is the lower-case letters and digits of each word between white space.
 
 What a 5-gram adds to the log-likelihood ratio is fixed once the counts are known: for a
 5-gram that either class has seen, the ratio of the two probabilities; for any other, the
-shared lower order cancels and the ratio of the two back-off weights remains. Both go into
-hashed tables of 2**bits numbers, the only things that reach the workers, whatever the size
-of the corpus. A document is described by the length-normalised difference of the two
-log-likelihoods over the whole text, by the strongest word's own, and by its share of words
-that lean to the toxic class, and a logistic regression on these gives the score.
+shared lower order cancels and the ratio of the two back-off weights remains. Both are looked
+up by the whole gram in tables with one entry for each distinct gram, so no two grams share a
+number and an unseen gram is never taken for a seen one; they are all that reaches the workers,
+and grow with the distinct 5-grams. A document is described by the length-normalised difference
+of the two log-likelihoods over the whole text, by the strongest word's own, and by its share of
+words that lean to the toxic class, and a logistic regression on these gives the score.
 
 The counts cover every training row. The regression is fitted on at most ``fit_rows`` rows
 that were kept out of the counts, chosen by a hash of the id.
@@ -76,13 +77,60 @@ def _class_grams(flush_words: int):
     return run
 
 
+class GramTable:
+    """A number for each gram of up to six code points, found by the whole gram."""
+
+    def __init__(self, high: np.ndarray, low: np.ndarray, value: np.ndarray) -> None:
+        self.shift = np.uint64(64 - max(len(value), 1).bit_length() - 1)
+        bucket = (_spread(high, low) >> self.shift).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        self.high, self.low, self.value = high[order], low[order], value[order].astype(np.float32)
+        self.start = np.searchsorted(bucket[order], np.arange((1 << (64 - int(self.shift))) + 1)).astype(np.int32)
+
+    def get(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """The grams' numbers, NaN where there is none."""
+        out = np.full(len(high), np.nan, dtype=np.float32)
+        bucket = (_spread(high, low) >> self.shift).astype(np.int64)
+        at, stop = self.start[bucket], self.start[bucket + 1]
+        todo = np.flatnonzero(at < stop)
+        at, stop = at[todo], stop[todo]
+        while len(todo):
+            same = (self.high[at] == high[todo]) & (self.low[at] == low[todo])
+            out[todo[same]] = self.value[at[same]]
+            at = at + 1
+            more = ~same & (at < stop)
+            todo, at, stop = todo[more], at[more], stop[more]
+        return out
+
+
+def packed(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each column of up to six code points as two numbers, without loss."""
+    both = []
+    for rows in (columns[:3], columns[3:]):
+        out = np.zeros(columns.shape[1], dtype=np.uint64)
+        for row in rows:
+            out = (out << np.uint64(21)) | row.astype(np.uint64)
+        both.append(out)
+    return both[0], both[1]
+
+
+def _spread(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    from .vectext import mix64
+
+    return mix64(mix64(high) ^ low)
+
+
+def _empty() -> GramTable:
+    none = np.zeros(0, dtype=np.uint64)
+    return GramTable(none, none, np.zeros(0, dtype=np.float32))
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Hashed tables of log-likelihood ratios and the regression on top of them."""
+    """Tables of log-likelihood ratios and the regression on top of them."""
 
-    bits: int
-    gram_ratio: np.ndarray  # NaN where no class has seen a 5-gram
-    context_ratio: np.ndarray
+    gram_ratio: GramTable  # of the 5-grams that a class has seen
+    context_ratio: GramTable
     beta: np.ndarray
     centre: np.ndarray
     scale: np.ndarray
@@ -124,10 +172,10 @@ class ToxicityModel:
             columns[k] = np.where(back >= first, codes[np.maximum(back, 0)], np.uint32(32))
         columns[-1] = codes[at]
         columns[-1][offset + length - 1] = 32
-        shift = np.uint64(64 - self.bits)
-        gram = self.gram_ratio[hash_columns(columns) >> shift]
-        context = self.context_ratio[hash_columns(columns[:-1]) >> shift]
-        ratio = np.add.reduceat(np.where(np.isnan(gram), context, gram).astype(np.float64), offset)
+        value = self.gram_ratio.get(*packed(columns))
+        unseen = np.flatnonzero(np.isnan(value))
+        value[unseen] = np.nan_to_num(self.context_ratio.get(*packed(columns[:-1, unseen])))
+        ratio = np.add.reduceat(value.astype(np.float64), offset)
         return np.searchsorted(starts, begin, side="right") - 1, ratio, length
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -136,35 +184,20 @@ class ToxicityModel:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
 
 
-def hash_columns(columns: np.ndarray) -> np.ndarray:
-    """Hash of each column of code points."""
-    from .vectext import _MIX, mix64
-
-    out = np.zeros(columns.shape[1], dtype=np.uint64)
-    for row in columns:
-        out = out * _MIX + row.astype(np.uint64) + np.uint64(1)
-    return mix64(out)
-
-
-def _gram_index(bits: int):
-    """5-grams and what Kneser-Ney needs of them to the cells of the hashed tables."""
-    schema = pa.schema([("cell", pa.int64()), ("v", pa.float64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams = batch.column(0).to_pylist()
-            if not grams:
-                continue
-            size = len(grams[0])
-            columns = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(-1, size).T
-            cell = (hash_columns(columns) >> np.uint64(64 - bits)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column(1).cast(pa.float64())], schema=schema)
-
-    return run
+def _packed_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grams of one size and their numbers, packed for a table."""
+    schema = pa.schema([("high", pa.int64()), ("low", pa.int64()), ("v", pa.float32())])
+    for batch in batches:
+        grams = batch.column(0).to_pylist()
+        if not grams:
+            continue
+        columns = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(-1, len(grams[0])).T
+        high, low = packed(columns)
+        yield pa.RecordBatch.from_arrays([pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), batch.column(1).cast(pa.float32())], schema=schema)
 
 
-def _tables(grams: DataFrame, bits: int, discount: float) -> tuple[np.ndarray, np.ndarray]:
-    """The two tables, from the counts of all 5-grams; what is collected is bounded by 2**bits."""
+def _tables(grams: DataFrame, discount: float) -> tuple[GramTable, GramTable]:
+    """The two tables, from the counts of all 5-grams; 20 bytes are collected for each distinct gram."""
     sub = lambda c, a, n: F.substring(c, a, n)
     # Shared lower orders: in how many distinct places a shorter gram continues a longer one.
     order4 = grams.groupBy(sub("gram", 2, 4).alias("g4")).agg(F.count(F.lit(1)).cast("double").alias("n4"))
@@ -201,12 +234,9 @@ def _tables(grams: DataFrame, bits: int, discount: float) -> tuple[np.ndarray, n
     unseen = context.select("h", F.log(backoff("c1") / backoff("c0")).alias("v"))
     found = []
     for frame in (seen, unseen):
-        cells = frame.mapInArrow(_gram_index(bits), "cell long, v double").groupBy("cell").agg(F.avg("v").alias("v"))
-        pdf = cells.toPandas()
-        table = np.full(1 << bits, np.nan, dtype=np.float32)
-        table[pdf["cell"].to_numpy(dtype=np.int64)] = pdf["v"].to_numpy()
-        found.append(table)
-    found[1] = np.nan_to_num(found[1])
+        rows = frame.mapInArrow(_packed_grams, "high long, low long, v float").toArrow()
+        high, low = (rows[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("high", "low"))
+        found.append(GramTable(high, low, rows["v"].to_numpy()))
     return found[0], found[1]
 
 
@@ -244,7 +274,6 @@ def _feature_rows(model, with_score: bool):
 def fit_toxicity(
     docs: DataFrame,
     labels: DataFrame,
-    bits: int = 20,
     discount: float = 0.75,
     fit_rows: int = 20_000,
     flush_words: int = 400_000,
@@ -264,14 +293,13 @@ def fit_toxicity(
     grams = counted.groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).persist()
     try:
         seen = grams.agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1")).first()
-        none = np.full(1 << bits, np.nan, dtype=np.float32)
         if seen["n0"] and seen["n1"]:
-            gram_ratio, context_ratio = _tables(grams, bits, discount)
+            gram_ratio, context_ratio = _tables(grams, discount)
         else:
-            gram_ratio, context_ratio = none, np.zeros(1 << bits, dtype=np.float32)
+            gram_ratio, context_ratio = _empty(), _empty()
     finally:
         grams.unpersist()
-    raw = ToxicityModel(bits, gram_ratio, context_ratio, np.zeros(4), np.zeros(3), np.ones(3))
+    raw = ToxicityModel(gram_ratio, context_ratio, np.zeros(4), np.zeros(3), np.ones(3))
     held = (
         rows.where(part == 4)
         .mapInArrow(_feature_rows(spark.sparkContext.broadcast(raw), False), "y int, i long, f0 double, f1 double, f2 double")
@@ -287,7 +315,7 @@ def fit_toxicity(
         centre, scale = np.zeros(3), np.ones(3)
         beta = np.zeros(4)
         beta[0] = np.log((label.sum() + 0.5) / (len(label) - label.sum() + 0.5 + (len(label) == 0)))
-    return ToxicityModel(bits, gram_ratio, context_ratio, beta, centre, scale)
+    return ToxicityModel(gram_ratio, context_ratio, beta, centre, scale)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,8 +1,10 @@
 import random
 import zlib
 
+import numpy as np
+
 from gridloom.llm.language import fit_language, predict_language
-from gridloom.llm.toxicity import drop_toxic, fit_toxicity, score_toxicity
+from gridloom.llm.toxicity import GramTable, drop_toxic, fit_toxicity, packed, score_toxicity
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -50,6 +52,16 @@ def test_toxicity_with_nothing_to_learn(spark, make_docs):
     assert score_toxicity(make_docs([]), model).count() == 0
 
 
+def test_grams_never_share_a_number():
+    rng = np.random.default_rng(3)
+    for size in (4, 5):
+        grams = np.unique(rng.integers(32, 0x110000, (300_000, size)).astype(np.uint32), axis=0)
+        known, other = grams[::2].T, grams[1::2].T
+        value = np.arange(known.shape[1], dtype=np.float32)
+        table = GramTable(*packed(known), value)
+        assert (table.get(*packed(known)) == value).all() and np.isnan(table.get(*packed(other))).all()
+
+
 def test_language_on_held_out_rows(spark, make_docs):
     rng = random.Random(2)
     rows = [(i, syllables(rng, EN if i % 2 else DE, rng.randrange(3, 120)), "en" if i % 2 else "de", "s") for i in range(400)]
