@@ -14,8 +14,8 @@ and grow with the distinct 5-grams. A document is described by the length-normal
 of the two log-likelihoods over the whole text, by the strongest word's own, and by its share of
 words that lean to the toxic class, and a logistic regression on these gives the score.
 
-The counts cover every training row. The regression is fitted on at most ``fit_rows`` rows
-that were kept out of the counts, chosen by a hash of the id.
+The regression is fitted on at most ``fit_rows`` training rows, chosen by a hash of the id; the
+counts cover every other training row.
 
 Defined results: null and empty texts are scored as texts without words; rows of ``labels``
 that repeat an id are joined to the largest label; null labels are left out; with no training
@@ -281,7 +281,9 @@ def fit_toxicity(
     text_col: str = "text",
     label_col: str = "toxic",
 ) -> ToxicityModel:
-    """Counts from labelled rows with crc32(id) mod 5 in 1, 2, 3; the regression from those with 4."""
+    """Trained on labelled rows whose crc32(id) is not a multiple of 5: the regression on the first
+    ``fit_rows`` of those with remainder 4, by a hash of the id; the counts come from all others.
+    """
     spark = docs.sparkSession
     part = F.crc32(F.col("i").cast("string")) % 5
     d = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.col("i").isNotNull() & (part != 0))
@@ -289,7 +291,15 @@ def fit_toxicity(
     y = y.groupBy("i").agg(F.max((F.col("y") > 0).cast("int")).alias("y"))
     # Labels grow with the corpus, so the join is planned for that at every size.
     rows = d.join(y.hint("merge"), "i").select("text", "y", "i")
-    counted = rows.where(part != 4).select("text", "y").mapInArrow(_class_grams(flush_words), "gram string, c0 long, c1 long")
+    order = F.xxhash64("i")
+    # The ids alone tell where the rows of the regression end: in order of (hash, id), behind the last one.
+    first = d.select("i").join(y.select("i").hint("merge"), "i").where(part == 4).select(order.alias("h"), "i").orderBy("h", "i").limit(fit_rows)
+    last = first.agg(F.max(F.struct("h", "i")).alias("last"), F.count(F.lit(1)).alias("n")).first()
+    fits = part == 4
+    if last["n"] >= fit_rows:
+        h, i = (last["last"]["h"], last["last"]["i"]) if last["last"] else (-(1 << 63), None)
+        fits = fits & ((order < F.lit(h)) | ((order == F.lit(h)) & (F.col("i") <= F.lit(i))))
+    counted = rows.where(~F.coalesce(fits, F.lit(False))).select("text", "y").mapInArrow(_class_grams(flush_words), "gram string, c0 long, c1 long")
     grams = counted.groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).persist()
     try:
         seen = grams.agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1")).first()
@@ -301,7 +311,7 @@ def fit_toxicity(
         grams.unpersist()
     raw = ToxicityModel(gram_ratio, context_ratio, np.zeros(4), np.zeros(3), np.ones(3))
     held = (
-        rows.where(part == 4)
+        rows.where(fits)
         .mapInArrow(_feature_rows(spark.sparkContext.broadcast(raw), False), "y int, i long, f0 double, f1 double, f2 double")
         .orderBy(F.xxhash64("i"), "i")
         .limit(fit_rows)

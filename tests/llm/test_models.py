@@ -52,6 +52,19 @@ def test_toxicity_with_nothing_to_learn(spark, make_docs):
     assert score_toxicity(make_docs([]), model).count() == 0
 
 
+def test_toxicity_counts_all_rows_that_the_regression_leaves(spark, make_docs):
+    rows, labels = toxic_corpus(random.Random(3))
+    fours = [i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5 == 4]
+    known = {i: f"qq{chr(97 + k % 26)}{chr(97 + k // 26)}" for k, i in enumerate(fours)}  # a word of each such row alone
+    rows = [(i, f"{t} {known.get(i, '')}", *r) for i, t, *r in rows]
+    labels = [(i, q, int(y or i in known)) for i, q, y in labels]
+    labelled = spark.createDataFrame(labels, LABELS)
+    for fit_rows in (20, 20_000):
+        model = fit_toxicity(make_docs(rows), labelled, fit_rows=fit_rows)
+        grams = np.array([[ord(c) for c in word + " "] for word in known.values()], dtype=np.uint32).T
+        assert (~np.isnan(model.gram_ratio.get(*packed(grams)))).sum() == max(len(fours) - fit_rows, 0)
+
+
 def test_grams_never_share_a_number():
     rng = np.random.default_rng(3)
     for size in (4, 5):
