@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .staging import Stage
@@ -34,6 +34,27 @@ def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashed), np.searchsorted(np.concatenate(of), np.arange(len(texts) + 1))
 
 
+def line_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As hashed_words, and the number of the line of its text in which each word stands."""
+    hashed, of, line = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    passed, last = 0, -1  # line breaks in the earlier pieces of the text that goes on
+    for parts, owners in pieces(texts):
+        codes, starts = codes_of(parts)
+        begin, end = word_spans(codes)
+        part = np.searchsorted(starts, begin, side="right") - 1
+        breaks = np.cumsum(codes == 10)
+        at = breaks[starts - 1]
+        before = at[:-1].copy()
+        if len(owners) and owners[0] == last:
+            before[0] -= passed
+        passed = int(at[-1] - before[-1])
+        last = int(owners[-1])
+        hashed.append(word_hashes(codes, begin, end))
+        of.append(owners[part])
+        line.append(breaks[begin] - before[part] if len(begin) else np.empty(0, dtype=np.int64))
+    return np.concatenate(hashed), np.searchsorted(np.concatenate(of), np.arange(len(texts) + 1)), np.concatenate(line)
+
+
 def rolling(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of the ``size`` words from each place on; too few are left at the end for the last."""
     usable = max(0, len(words) - size + 1)
@@ -49,13 +70,15 @@ def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
     Words are runs of lower-case letters and digits. A text of fewer words than ``size`` has
     one shingle, all its words; a text without words has none.
     """
-    return sets_of(*hashed_words(texts), size)
+    words, bounds = hashed_words(texts)
+    return sets_of(words, bounds[:-1], bounds[1:], size)
 
 
-def sets_of(words: np.ndarray, bounds: np.ndarray, size: int) -> list[np.ndarray]:
+def sets_of(words: np.ndarray, begin: np.ndarray, end: np.ndarray, size: int) -> list[np.ndarray]:
+    """Sorted distinct shingles of the words from each begin to before its end."""
     whole = rolling(words, size)
     out = []
-    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+    for lo, hi in zip(begin.tolist(), end.tolist(), strict=True):
         n = hi - lo
         if n >= size:
             out.append(np.unique(whole[lo : hi - size + 1]))
@@ -102,23 +125,29 @@ def winnowed(words: np.ndarray, bounds: np.ndarray, size: int, reach: int) -> tu
     return where, h[where]
 
 
+def minima(sets: list[np.ndarray], many: int, seed: int = 20_011) -> Iterator[np.ndarray]:
+    """``many`` times the least hash of each set, none of which is empty, each under another function."""
+    flat = np.concatenate(sets)
+    at = np.cumsum([0] + [len(s) for s in sets[:-1]])
+    h = (flat >> np.uint64(32)).astype(np.uint32)
+    rng = np.random.default_rng(seed)
+    a = rng.integers(0, 1 << 31, size=many, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    b = rng.integers(0, 1 << 32, size=many, dtype=np.uint64).astype(np.uint32)
+    for k in range(many):
+        yield np.minimum.reduceat((h ^ b[k]) * a[k], at)
+
+
 def signature_keys(sets: list[np.ndarray], groups: int, depth: int, seed: int = 20_011) -> np.ndarray:
     """(items, groups) int64 keys, each over ``depth`` minima; rows of empty sets are 0."""
     keys = np.zeros((len(sets), groups), dtype=np.uint64)
     some = [i for i, s in enumerate(sets) if len(s)]
     if not some:
         return keys.view(np.int64)
-    flat = np.concatenate([sets[i] for i in some])
-    at = np.cumsum([0] + [len(sets[i]) for i in some[:-1]])
-    h = (flat >> np.uint64(32)).astype(np.uint32)
-    rng = np.random.default_rng(seed)
-    a = rng.integers(0, 1 << 31, size=groups * depth, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    b = rng.integers(0, 1 << 32, size=groups * depth, dtype=np.uint64).astype(np.uint32)
+    least = minima([sets[i] for i in some], groups * depth, seed)
     for g in range(groups):
         key = np.full(len(some), g + 1, dtype=np.uint64)
-        for d in range(depth):
-            least = np.minimum.reduceat((h ^ b[g * depth + d]) * a[g * depth + d], at)
-            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + least)
+        for _ in range(depth):
+            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + next(least))
         keys[some, g] = key
     return keys.view(np.int64)
 
@@ -168,20 +197,22 @@ def _pairs(block: np.ndarray, nodes: np.ndarray, lo: int, hi: int) -> tuple[np.n
     return left, right, own
 
 
-_NEED = pa.schema([("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("node", pa.int64()), ("block", pa.int32()), ("rep", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64())), ("grp", pa.int32())])
+#: The row that stands for a node; those without an id come last.
+REP = "struct<none:boolean,id:bigint,row:bigint>"
+_NEED = pa.schema([("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("node", pa.int64()), ("block", pa.int32()), ("size", pa.int64()), ("keys", pa.list_(pa.int64())), ("grp", pa.int32())])
 
 
 def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members of a unit that have a pair to verify there."""
     out: list[tuple] = []
-    for (key, lo, hi), (node, block, rep, size, keys, grp) in _runs(batches, 3):
+    for (key, lo, hi), (node, block, size, keys, grp) in _runs(batches, 3):
         nodes, blocks, k = np.array(node), np.array(block), np.array(keys)
         left, right, own = _pairs(blocks, nodes, lo, hi)
         if not len(left) or not len(right):
             continue
         todo = own & _first_meeting(k, grp[0], left, right)
         for i in sorted({*left[todo.any(axis=1)].tolist(), *right[todo.any(axis=0)].tolist()}):
-            out.append((key, lo, hi, node[i], block[i], rep[i], size[i], keys[i], grp[i]))
+            out.append((key, lo, hi, node[i], block[i], size[i], keys[i], grp[i]))
         if len(out) >= 5_000:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _NEED, strict=True)], schema=_NEED)
             out = []
@@ -260,28 +291,40 @@ def verified_links(
 ) -> DataFrame:
     """Written (node, links, root) rows, several per node; nodes without a link have none.
 
-    ``nodes``: written rows (node, rep, size, keys), one per distinct set. ``payload`` gets the
-    distinct (node, rep) that have a pair to verify and gives their (node, shingles).
+    ``nodes``: written rows (node, rep, size, keys), one per distinct set, rep being a row of
+    type REP that holds it. ``payload`` gets the (node, rep) that have a pair to verify and
+    gives their (node, shingles).
     """
     keyed = nodes.select("node", F.posexplode("keys").alias("grp", "key"))
     # Written, so that the join below has exchanges on both sides and splits at a hot key.
     full = stage.table(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
     met = keyed.join(full, "key").select("key", "grp", "node", F.ceil(F.col("members") / F.lit(float(block))).cast("int").alias("blocks"))
-    met = met.join(nodes.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).drop("n")
+    met = met.join(nodes.select(F.col("node").alias("n"), "size", "keys"), F.col("node") == F.col("n")).drop("n")
     own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
     units = (
         met.withColumn("block", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "block", "rep", "size", "keys", "grp")
+        .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "block", "size", "keys", "grp")
     )
     dealt = units.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    need = stage.table(
-        dealt.mapInArrow(_needed, "key long, lo int, hi int, node long, block int, rep long, size long, keys array<long>, grp int")
-    )
-    sets = stage.table(payload(need.select("node", "rep").distinct()))
-    rows = need.drop("rep").join(sets, "node").select("key", "lo", "hi", "node", "block", "size", "keys", "grp", "shingles")
+    need = stage.table(dealt.mapInArrow(_needed, "key long, lo int, hi int, node long, block int, size long, keys array<long>, grp int"))
+    wanted = need.select("node").distinct().join(nodes.select("node", "rep"), "node")
+    # Once for each node, however often its row is repeated.
+    sets = payload(wanted).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    rows = need.join(sets.hint("merge"), "node").select("key", "lo", "hi", "node", "block", "size", "keys", "grp", "shingles")
     found = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_verified(threshold), "node long, links long, root long")
     links = stage.table(found)
-    for done in (full, need, sets):
+    for done in (full, need):
         stage.drop(done)
     return links
+
+
+def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(text, id, row): a document is told by its id and text, so rows without an id or with a repeated one differ."""
+    d = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("id"))
+    return d.select("text", "id", F.xxhash64("text", "id").alias("row"))
+
+
+def rep_of(of: str = "") -> Column:
+    """A row as REP: the least of them is the one with the smallest id."""
+    return F.struct(F.col(f"{of}id").isNull().alias("none"), F.col(f"{of}id").alias("id"), F.col(f"{of}row").alias("row"))

@@ -6,7 +6,8 @@ import pytest
 
 from gridloom.llm import similarity
 from gridloom.llm.components import connected_components
-from gridloom.llm.ngram_join import forest_depth, keep_one_of_each, similar_documents
+from gridloom.llm import forest
+from gridloom.llm.ngram_join import keep_one_of_each, similar_documents
 from gridloom.llm.paragraph_dedup import band_count, cut_windows, dedup_paragraphs
 from gridloom.llm.staging import Stage
 
@@ -55,10 +56,43 @@ def test_common_counts_dense_and_sparse():
 
 
 def test_depth_and_bands_reach_their_recall():
-    assert forest_depth(16, 8, 0.8, 0.998) == 5
+    assert forest.guaranteed(12, 3, 0.8) >= 0.998 > forest.guaranteed(12, 5, 0.8)
     assert 1 - (1 - 0.8**4) ** band_count(4, 0.8, 0.995) >= 0.995
 
 
+def test_prefixes_are_shortened_where_that_is_cheap():
+    sizes = np.ones((3, 12, 3), dtype=np.int64)
+    sizes[1] = np.array([500, 400, 300])  # crowded in every tree
+    sizes[2, :6] = np.array([500, 400, 300])  # crowded in half of them
+    depth = forest.shortened(sizes, 3, 0.8, 0.998)
+    missed = np.prod(1 - 0.8 ** depth.astype(float), axis=1)
+    assert (missed <= 0.002).all() and (missed > 0.0002).all()
+    assert len({tuple(sorted(x)) for x in depth.tolist()}) >= 1 and (depth[2, :6] == 5).all() and (depth[2, 6:] < 5).any()
+    best = forest.shortened(sizes[:1], 3, 0.8, 1 - 1e-6)
+    assert (best == 3).all()  # as short as they get where the target is out of reach
+
+
+def test_forest_finds_pairs_at_the_threshold():
+    """Recall of the buckets that the sets ask for, over pairs of similarity 0.8 to 0.85."""
+    rng = np.random.default_rng(7)
+    sets, pairs = [], 400
+    for _ in range(pairs):
+        base = rng.integers(0, 1 << 63, 180).astype(np.uint64)
+        sets += [np.sort(base[:165]), np.sort(np.concatenate([base[15:165], base[165:]]))]  # 150 of 180 shared
+    signed = [np.frombuffer(x, dtype=np.uint16).reshape(12, 5) for x in forest.signatures(sets, 12, 5)]
+    sizes = np.ones((len(sets), 12, 3), dtype=np.int64)
+    for t in range(12):
+        for k in range(3):
+            seen = {}
+            for i, s in enumerate(signed):
+                seen.setdefault(s[t, : 3 + k].tobytes(), []).append(i)
+            for members in seen.values():
+                sizes[members, t, k] = len(members)
+    depth = forest.shortened(sizes, 3, 0.8, 0.998)
+    found = sum(any((signed[i][t, : depth[i, t]] == signed[i + 1][t, : depth[i, t]]).all() for t in range(12)) for i in range(0, 2 * pairs, 2))
+    assert found >= 0.99 * pairs
+
+
 @pytest.mark.parametrize("block", [256, 4])
 def test_join_matches_brute_force(spark, make_docs, corpus, block, monkeypatch):
     monkeypatch.setattr(similarity.verified_links, "__defaults__", (block,))
@@ -91,6 +125,28 @@ def test_join_edges(spark, make_docs):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 3, None], key=str)
 
 
+def test_rows_without_an_id_or_with_a_repeated_one_are_told_apart(spark, make_docs):
+    x, y, z = "q w e r t y u", "only here once and never more", "another one of its own kind"
+    rows = [(1, x, "en", "s"), (5, x, "en", "s"), (5, y, "en", "s"), (None, x, "en", "s"), (None, z, "en", "s"), (None, z, "en", "t"), (None, None, None, None), (None, "", None, None), (1, x, "en", "s"), (1, x, "en", "t")]
+    left = [(r.doc_id, r.text) for r in keep_one_of_each(make_docs(rows)).collect()]
+    assert sorted(left, key=str) == sorted([(1, x), (5, y), (None, z), (None, None), (None, "")], key=str)
+    got = sorted((tuple(r) for r in similar_documents(make_docs(rows)).collect()), key=str)
+    want = [(1, 1, 5, 4)] * 3 + [(5, 1, 5, 4), (5, 5, 1, 0), (None, 1, 5, 4), (None, None, 2, 1), (None, None, 2, 1), (None, None, 1, 0), (None, None, 1, 0)]
+    assert got == sorted(want, key=str)
+    clash = make_docs(rows).selectExpr("*", "1 as row", "2 as rows", "3 as repeated", "4 as gone_id", "5 as __id")
+    assert keep_one_of_each(clash).count() == 5 and set(keep_one_of_each(clash).columns) == set(clash.columns)
+
+
+def test_join_of_very_long_texts(spark, make_docs):
+    rng = random.Random(3)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(120_000)]
+    near = list(long)
+    for k in range(0, len(near), 100):
+        near[k] = "changed"
+    got = sorted(tuple(r) for r in similar_documents(make_docs([" ".join(long), "\n".join(near), "short"])).collect())
+    assert got == [(0, 0, 2, 1), (1, 0, 2, 1), (2, 2, 1, 0)]
+
+
 def test_components(spark):
     rng = random.Random(9)
     pairs = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(rng.randrange(500, 900), rng.randrange(500, 900)) for _ in range(250)]
