@@ -5,22 +5,25 @@ MinHash, with as many bands as give the wanted recall at the threshold; paragrap
 collide are verified by exact Jaccard, and of every connected component the occurrence with
 the smallest (doc_id, paragraph number) stays, all others are removed.
 
-A passage inside a longer paragraph leaves the two paragraphs far below any threshold, so what
-is left is compared once more by windows of ``window`` words, selected by winnowing: documents
-that share ``window + reach - 1`` words in a row (39 by default) share a selected window. The
-shared windows of a document, joined where they touch, are cut out, except in the document
-with the smallest doc_id that has them, so no two documents are left with so long a run.
-
-Defined results: shorter lines always stay; a null text is the empty text; rows that repeat
-a doc_id, or rows without one, are one document and lose the same lines; rows without an id
-take no part in the comparison of windows; an empty table gives an empty result; other
-columns are ignored, whatever their names.
+A passage inside a longer paragraph, or one whose lines break elsewhere, leaves two paragraphs
+far below any threshold, so documents are compared once more by windows of ``window`` words,
+selected by winnowing over the words of the whole text, whatever its lines. Documents that
+share ``window + reach - 1`` words in a row (39 by default) share a selected window. Windows
+that touch a removed paragraph are out; the others that a document shares are cut out, joined
+where they touch, except in the document with the smallest doc_id that has them. So no two
+documents are left with so long a run of words that stood in a row in the input.
+
+Defined results: lines of fewer words are only compared by windows; a null text is the empty
+text; documents are told apart by doc_id and text, so rows without an id or with a repeated
+one are documents of their own, those without an id last; rows that repeat both are one
+document and lose the same; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .similarity import hashed_words, node_ids, sets_of, shingle_sets, signature_keys, verified_links, winnowed
+from .similarity import line_words, node_ids, rep_of, sets_of, signature_keys, verified_links, winnowed, with_row_key
 from .staging import Stage
 from .vectext import chunks, codes_of, word_spans
 
@@ -38,42 +41,57 @@ def band_count(rows: int, threshold: float, recall: float) -> int:
     return math.ceil(math.log(1.0 - recall) / math.log(1.0 - threshold**rows))
 
 
-def _paragraphs(texts: list[str], min_words: int) -> tuple[list[str], list[int], list[int]]:
-    """Lines that are long enough, with the number of their text and their own."""
-    lines, owner, number = [], [], []
-    for i, text in enumerate(texts):
-        for k, line in enumerate(text.split("\n")):
-            if len(line.split()) >= min_words:
-                lines.append(line)
-                owner.append(i)
-                number.append(k)
-    return lines, owner, number
+def _paragraphs(texts: list[str], min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text and line numbers of the lines that are long enough."""
+    found = [(i, k) for i, text in enumerate(texts) for k, line in enumerate(text.split("\n")) if len(line.split()) >= min_words]
+    return np.array([x[0] for x in found], dtype=np.int64), np.array([x[1] for x in found], dtype=np.int64)
+
+
+def _line_sets(texts: list[str], owner: np.ndarray, number: np.ndarray, shingle: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle sets of the given lines; and all words, their bounds by text and their lines."""
+    words, bounds, line = line_words(texts)
+    wide = np.int64(1 << 32)
+    at = np.repeat(np.arange(len(texts)), np.diff(bounds)) * wide + line
+    place = owner * wide + number
+    return sets_of(words, np.searchsorted(at, place), np.searchsorted(at, place, side="right"), shingle), words, bounds, line
+
+
+def _lists(values: np.ndarray, of: np.ndarray, many: int) -> pa.ListArray:
+    """The values of each owner 0 to many - 1; ``of`` is sorted."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(many + 1)).astype(np.int32)), pa.array(values))
 
 
 def _sign(bands: int, rows: int, shingle: int, min_words: int, window: int, reach: int):
-    schema = pa.schema([("id", pa.int64()), ("par", pa.int32()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("windows", pa.list_(pa.int64()))])
+    """A row for each paragraph, and one without ``par`` for the windows of each document that has any."""
+    lists = [pa.field(c, pa.list_(t)) for c, t in (("keys", pa.int64()), ("windows", pa.int64()), ("from", pa.int32()), ("to", pa.int32()))]
+    schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("par", pa.int32()), ("node", pa.int64()), *lists])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, 0, 500_000):
-            ids = batch.column(1).to_pylist()
-            lines, owner, number = _paragraphs(texts, min_words)
-            words, bounds = hashed_words(lines)
-            sets = sets_of(words, bounds, shingle)
-            where, hashes = winnowed(words, bounds, window, reach)
-            windows = pa.ListArray.from_arrays(pa.array(np.searchsorted(where, bounds).astype(np.int32)), pa.array(hashes.view(np.int64)))
-            keep = [i for i, s in enumerate(sets) if len(s)]
-            sets = [sets[i] for i in keep]
+            owner, number = _paragraphs(texts, min_words)
+            sets, words, bounds, line = _line_sets(texts, owner, number, shingle)
+            keep = np.array([i for i, s in enumerate(sets) if len(s)], dtype=np.int64)
+            sets = [sets[i] for i in keep.tolist()]
             keys = signature_keys(sets, bands, rows)
+            of = pa.array(owner[keep])
+            none = lambda f: pa.nulls(len(keep), f.type)  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([ids[owner[i]] for i in keep], pa.int64()),
-                    pa.array([number[i] for i in keep], pa.int32()),
+                    batch.column(1).take(of),
+                    batch.column(2).take(of),
+                    pa.array(number[keep].astype(np.int32)),
                     pa.array(node_ids(sets), pa.int64()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * bands), pa.array(keys.ravel())),
-                    windows.take(pa.array(keep, pa.int64())),
+                    *[none(f) for f in lists[1:]],
                 ],
                 schema=schema,
             )
+            where, hashes = winnowed(words, bounds, window, reach)
+            text = np.searchsorted(bounds, where, side="right") - 1
+            some = pa.array(np.unique(text))
+            columns = [_lists(v, text, len(texts)).take(some) for v in (hashes.view(np.int64), line[where].astype(np.int32), line[where + window - 1].astype(np.int32))]
+            empty = [pa.nulls(len(some), f.type) for f in (schema.field("par"), schema.field("node"), lists[0])]
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(some), batch.column(2).take(some), *empty, *columns], schema=schema)
 
     return run
 
@@ -83,34 +101,83 @@ def _wanted_sets(shingle: int, min_words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, 0):
-            lines, owner, _ = _paragraphs(texts, min_words)
+            owner, number = _paragraphs(texts, min_words)
             wanted = [set(w) for w in batch.column(1).to_pylist()]
-            sets = shingle_sets(lines, shingle)
-            rows = {n: s.tobytes() for n, s, o in zip(node_ids(sets), sets, owner, strict=True) if n in wanted[o]}
+            sets = _line_sets(texts, owner, number, shingle)[0]
+            rows = {n: s.tobytes() for n, s, o in zip(node_ids(sets), sets, owner.tolist(), strict=True) if n in wanted[o]}
             yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], schema=schema)
 
     return run
 
 
-def cut_windows(line: str, shared: set[int], window: int, reach: int) -> tuple[str, int]:
-    """The line without the runs of words that its shared windows cover, and how many runs."""
-    covered: list[list[int]] = []
-    where, hashes = winnowed(*hashed_words([line]), window, reach)
-    for place, h in zip(where.tolist(), hashes.view(np.int64).tolist(), strict=True):
-        if h in shared:
-            if covered and place <= covered[-1][1] + 1:
+def touching(gone: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether a line of ``gone``, which is sorted, lies between each first and last line."""
+    return np.searchsorted(gone, first) < np.searchsorted(gone, last, side="right")
+
+
+def _standing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of each document, without those that touch one of its removed lines."""
+    schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("hash", pa.int64())])
+    for batch in batches:
+        places = batch.column(2)
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(places.offsets.to_numpy()))
+        flat = places.flatten()
+        first, last = flat.field("from").to_numpy(), flat.field("to").to_numpy()
+        stands = np.ones(len(owner), dtype=bool)
+        edges = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+        for i, gone in enumerate(batch.column(3).to_pylist()):
+            if gone:
+                at = slice(edges[i], edges[i + 1])
+                stands[at] = ~touching(np.sort(np.array(gone)), first[at], last[at])
+        of = pa.array(owner[stands])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), flat.field("hash").filter(pa.array(stands))], schema=schema)
+
+
+def cut_text(text: str, drop: Collection[int], shared: Collection[int], window: int, reach: int) -> tuple[str, int]:
+    """The text without the dropped lines and the words of shared windows; and how many runs of words went.
+
+    A run goes from its first word to the next word that stays, or to the end of its last
+    line; what lies before the first word of a line stays with the line. Lines that
+    lose all they had are left out.
+    """
+    lines = text.split("\n")
+    spans: list[tuple[int, int]] = []
+    if shared:
+        words, bounds, line = line_words([text])
+        where, hashes = winnowed(words, bounds, window, reach)
+        hit = np.isin(hashes.view(np.int64), np.fromiter(shared, dtype=np.int64, count=len(shared)))
+        hit &= ~touching(np.sort(np.fromiter(drop, dtype=np.int64, count=len(drop))), line[where], line[where + window - 1])
+        covered: list[list[int]] = []
+        for place in where[hit].tolist():
+            if covered and place <= covered[-1][1]:
                 covered[-1][1] = max(covered[-1][1], place + window)
             else:
                 covered.append([place, place + window])
-    if not covered:
-        return line, 0
-    begin, end = word_spans(codes_of([line])[0])  # places in the line, one behind for the separator
-    left, at = [], 0
-    for lo, hi in covered:
-        left.append(line[at : begin[lo] - 1])
-        at = int(begin[hi]) - 1 if hi < len(begin) else len(line)
-    left.append(line[at:])
-    return "".join(left).strip(), len(covered)
+        if covered:
+            codes = codes_of([text])[0]
+            begin, end = word_spans(codes)
+            breaks = np.flatnonzero(codes == 10)
+            for lo, hi in covered:
+                stop = np.searchsorted(breaks, end[hi - 1])
+                line_end = int(breaks[stop]) if stop < len(breaks) else len(codes) - 1
+                spans.append((int(begin[lo]) - 1, min(int(begin[hi]), line_end) - 1 if hi < len(begin) else line_end - 1))
+    kept, at, k = [], 0, 0
+    for number, x in enumerate(lines):
+        stop = at + len(x)
+        while k < len(spans) and spans[k][1] <= at:
+            k += 1
+        if number not in drop:
+            parts, lo, j = [], at, k
+            while j < len(spans) and spans[j][0] < stop:
+                parts.append(text[lo : max(lo, spans[j][0])])
+                lo = min(stop, max(lo, spans[j][1]))
+                j += 1
+            if j > k:
+                x = ("".join(parts) + text[lo:stop]).strip()
+            if j == k or x:
+                kept.append(x)
+        at = stop + 1
+    return "\n".join(kept), len(spans)
 
 
 def _strip(min_words: int, window: int, reach: int):
@@ -119,34 +186,19 @@ def _strip(min_words: int, window: int, reach: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, 0):
-            out: list[list] = [[] for _ in range(5)]
-            for text, doc_id, gone in zip(texts, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                lines = text.split("\n")
-                drop = {g["par"]: g["keep"] for g in gone or () if g["par"] is not None}
-                shared = {g["hash"]: g["keep"] for g in gone or () if g["par"] is None}
-                kept, removed = [], len(drop)
-                for k, line in enumerate(lines):
-                    if k in drop:
-                        continue
-                    if shared and len(line.split()) >= min_words:
-                        line, cuts = cut_windows(line, set(shared), window, reach)
-                        removed += cuts
-                        if cuts and not line:
-                            continue
-                    kept.append(line)
-                for column, value in zip(
-                    out,
-                    (
-                        doc_id,
-                        sum(len(x.split()) >= min_words for x in lines),
-                        removed,
-                        sorted({k for k in [*drop.values(), *shared.values()] if k is not None}),
-                        "\n".join(kept) if removed else text,
-                    ),
-                    strict=True,
-                ):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+            paragraphs = np.bincount(_paragraphs(texts, min_words)[0], minlength=len(texts))
+            removed, kept_in, left = [], [], []
+            for text, gone in zip(texts, batch.column(2).to_pylist(), strict=True):
+                drop = {g["par"] for g in gone or () if g["par"] is not None}
+                shared = {g["hash"] for g in gone or () if g["par"] is None}
+                new, cuts = cut_text(text, drop, shared, window, reach) if gone else (text, 0)
+                removed.append(len(drop) + cuts)
+                kept_in.append(sorted({g["keep"] for g in gone or () if g["keep"] is not None}))
+                left.append(new)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1), pa.array(paragraphs.astype(np.int32)), pa.array(removed, pa.int32()), pa.array(kept_in, schema.field("kept_in").type), pa.array(left, pa.string())],
+                schema=schema,
+            )
 
     return run
 
@@ -167,37 +219,42 @@ def dedup_paragraphs(
 
     ``n_removed`` counts the paragraphs and the passages inside of paragraphs; ``kept_in`` lists the documents that keep the first occurrence of what was removed here.
     """
-    spark = docs.sparkSession
-    stage = Stage(spark, "paragraph-dedup")
-    d = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("id"))
+    stage = Stage(docs.sparkSession, "paragraph-dedup")
+    d = with_row_key(docs, id_col, text_col)
     signed = stage.table(
         d.mapInArrow(
-            _sign(band_count(rows, threshold, recall), rows, shingle, min_words, window, reach), "id long, par int, node long, keys array<long>, windows array<long>"
+            _sign(band_count(rows, threshold, recall), rows, shingle, min_words, window, reach),
+            "id long, row long, par int, node long, keys array<long>, windows array<long>, `from` array<int>, `to` array<int>",
         )
     )
-    nodes = stage.table(signed.groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("keys").alias("keys")))
+    paragraphs = signed.where("par is not null")
+    nodes = stage.table(paragraphs.groupBy("node").agg(F.min(rep_of()).alias("rep"), F.count(F.lit(1)).alias("size"), F.first("keys").alias("keys")))
 
     def payload(need: DataFrame) -> DataFrame:
         chosen = stage.table(need.groupBy("rep").agg(F.collect_set("node").alias("wanted")))
-        joined = d.join(chosen.hint("merge"), d["id"].eqNullSafe(chosen["rep"])).select("text", "wanted")
+        joined = d.join(chosen.hint("merge"), (d["row"] == chosen["rep.row"]) & d["id"].eqNullSafe(chosen["rep.id"])).select("text", "wanted")
         return joined.mapInArrow(_wanted_sets(shingle, min_words), "node long, shingles binary")
 
-    links = verified_links(nodes.select("node", "rep", "size", "keys"), payload, threshold, stage)
+    links = verified_links(nodes, payload, threshold, stage)
     roots = stage.table(connected_components(links.select(F.col("node").alias("u"), F.col("root").alias("v")), stage))
     # Only paragraphs with a copy or a link can go; the rest needs no shuffle.
-    shared = nodes.join(roots, "node", "left").where("size > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"))
-    places = signed.select("id", "par", "node").join(shared, "node").select("root", F.struct(F.col("id").isNull().alias("none"), "id", "par").alias("place"))
+    shared = nodes.select("node", "size").join(roots, "node", "left").where("size > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"))
+    places = paragraphs.select("id", "row", "par", "node").join(shared, "node").select("root", F.struct(rep_of().alias("of"), F.col("par")).alias("place"))
     first = stage.table(places.groupBy("root").agg(F.min("place").alias("first")))
-    removed = stage.table(
-        places.join(first, "root").where("place <> first").select(F.col("place.id").alias("id"), F.col("place.par").alias("par"), F.col("first.id").alias("keep"))
-    )
-    # Windows of what is left that lie in several documents; the smallest doc_id keeps them.
-    here = signed["id"].eqNullSafe(removed["id"]) & (signed["par"] == removed["par"])
-    left = signed.where("id is not null and size(windows) > 0").join(removed.hint("merge"), here, "left_anti").select("id", F.explode("windows").alias("hash"))
-    holders = left.groupBy("hash").agg(F.min("id").alias("keep"), F.max("id").alias("other"))
-    shared = stage.table(holders.where("keep <> other").select("hash", "keep"))
-    cut = left.join(shared.hint("merge"), "hash").where("id <> keep").select("id", F.lit(None).cast("int").alias("par"), "keep", "hash")
+    removed = stage.table(places.join(first, "root").where("place <> first").select("place.of.id", "place.of.row", "place.par", F.col("first.of.id").alias("keep")))
+    # Windows that several documents hold, by their rows, which differ between any two documents.
+    windows = signed.where("par is null").select("id", "row", F.explode(F.arrays_zip("windows", "from", "to")).alias("w"))
+    held = windows.groupBy(F.col("w.windows").alias("hash")).agg(F.min("row").alias("least"), F.max("row").alias("most"))
+    often = stage.table(held.where("least <> most").select("hash"))
+    hits = windows.join(often.hint("merge"), F.col("w.windows") == F.col("hash")).select("id", "row", F.struct("hash", "w.from", "w.to").alias("place"))
+    lines = stage.table(removed.groupBy(F.col("id").alias("of_id"), F.col("row").alias("of_row")).agg(F.collect_set("par").alias("gone")))
+    of_doc = hits.groupBy("id", "row").agg(F.collect_list("place").alias("places"))
+    beside = of_doc.join(lines.hint("merge"), (of_doc["row"] == lines["of_row"]) & of_doc["id"].eqNullSafe(lines["of_id"]), "left")
+    standing = stage.table(beside.select("id", "row", "places", "gone").mapInArrow(_standing, "id long, row long, hash long").distinct())
+    keepers = stage.table(standing.groupBy("hash").agg(F.min(rep_of()).alias("keep"), F.max(rep_of()).alias("other")).where("keep <> other").select("hash", "keep"))
+    own = (F.col("row") == F.col("keep.row")) & F.col("id").eqNullSafe(F.col("keep.id"))
+    cut = standing.join(keepers.hint("merge"), "hash").where(~own).select("id", "row", F.lit(None).cast("int").alias("par"), F.col("keep.id").alias("keep"), "hash")
     lost = removed.withColumn("hash", F.lit(None).cast("long")).unionByName(cut)
-    gone = lost.groupBy(F.col("id").alias("gid")).agg(F.collect_set(F.struct("par", "keep", "hash")).alias("gone"))
-    marked = d.join(gone.hint("merge"), d["id"].eqNullSafe(gone["gid"]), "left").select("text", "id", "gone")
+    gone = lost.groupBy(F.col("id").alias("gone_id"), F.col("row").alias("gone_row")).agg(F.collect_set(F.struct("par", "keep", "hash")).alias("gone"))
+    marked = d.join(gone.hint("merge"), (d["row"] == gone["gone_row"]) & d["id"].eqNullSafe(gone["gone_id"]), "left").select("text", "id", "gone")
     return marked.mapInArrow(_strip(min_words, window, reach), "doc_id long, n_paragraphs int, n_removed int, kept_in array<long>, text string")

@@ -8,7 +8,7 @@ from gridloom.llm import similarity
 from gridloom.llm.components import connected_components
 from gridloom.llm import forest
 from gridloom.llm.ngram_join import keep_one_of_each, similar_documents
-from gridloom.llm.paragraph_dedup import band_count, cut_windows, dedup_paragraphs
+from gridloom.llm.paragraph_dedup import band_count, cut_text, dedup_paragraphs
 from gridloom.llm.staging import Stage
 
 
@@ -162,7 +162,9 @@ def test_components(spark):
 
 
 def brute_paragraphs(rows, min_words=8):
-    items = [(i, k, shingles(line)) for i, t in rows for k, line in enumerate((t or "").split("\n")) if len(line.split()) >= min_words]
+    """(doc_id, n_paragraphs, removed lines, kept_in, text) by comparing all lines; documents are (doc_id, text)."""
+    last = lambda d: (d[0] is None, d[0] or 0)
+    items = [((i, t), k, shingles(line)) for i, t in sorted(set(rows), key=str) for k, line in enumerate((t or "").split("\n")) if len(line.split()) >= min_words]
     items = [x for x in items if x[2]]
     n = len(items)
     root = list(range(n))
@@ -176,28 +178,88 @@ def brute_paragraphs(rows, min_words=8):
             root[a] = root[b] = low
     first = {}
     for x in range(n):
-        first[root[x]] = min(first.get(root[x], items[x][:2]), items[x][:2])
+        first[root[x]] = min(first.get(root[x], items[x][:2]), items[x][:2], key=lambda p: (last(p[0]), p[1]))
     gone = {}
     for x in range(n):
         if items[x][:2] != first[root[x]]:
-            gone.setdefault(items[x][0], {})[items[x][1]] = first[root[x]][0]
+            gone.setdefault(items[x][0], {})[items[x][1]] = first[root[x]][0][0]
     out = []
     for i, t in rows:
-        g = gone.get(i, {})
+        g = gone.get((i, t), {})
         lines = (t or "").split("\n")
-        out.append((i, sum(len(x.split()) >= min_words for x in lines), len(g), sorted(set(g.values())), "\n".join(x for k, x in enumerate(lines) if k not in g)))
-    return sorted(out)
+        out.append((i, sum(len(x.split()) >= min_words for x in lines), len(g), sorted({x for x in g.values() if x is not None}), "\n".join(x for k, x in enumerate(lines) if k not in g)))
+    return sorted(out, key=repr)
+
+
+def brute_windows(rows, window, gone):
+    """Every window of words that two documents share, cut but in the first: {document: word places}.
+
+    Without winnowing (a reach of one) every window is selected.
+    """
+    streams = {}
+    for i, t in set(rows):
+        spans = [(m.group().lower(), t[: m.start()].count("\n")) for m in re.finditer(r"[^\W_]+", t)]
+        for k in range(len(spans) - window + 1):
+            lines = {x[1] for x in spans[k : k + window]}
+            if not lines & gone.get((i, t), set()):
+                streams.setdefault(tuple(x[0] for x in spans[k : k + window]), {}).setdefault((i, t), []).append(k)
+    cut = {}
+    for holders in streams.values():
+        if len(holders) > 1:
+            keep = min(holders, key=lambda d: (d[0] is None, d[0] or 0))
+            for d, at in holders.items():
+                if d != keep:
+                    cut.setdefault(d, set()).update(w for k in at for w in range(k, k + window))
+    return cut
 
 
 def test_paragraphs_match_brute_force(spark, make_docs, corpus):
     passage = " ".join(f"shared{i}" for i in range(55))
     texts = [f"{t}\n{passage} tail{i}" if i % 5 == 0 and t else t for i, t in enumerate(corpus)]
-    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
-    got = sorted((r.doc_id, r.n_paragraphs, r.n_removed, list(r.kept_in), r.text) for r in dedup_paragraphs(make_docs(rows), window=10**6).collect())
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)] + [(None, texts[0], "en", "s"), (3, texts[5], "en", "s")]
+    got = sorted(((r.doc_id, r.n_paragraphs, r.n_removed, list(r.kept_in), r.text) for r in dedup_paragraphs(make_docs(rows), window=10**6).collect()), key=repr)
     assert got == brute_paragraphs([(r[0], r[1]) for r in rows])
     assert sum(passage in g[4] for g in got) == 1
 
 
+def test_both_passes_match_brute_force(spark, make_docs):
+    """Paragraphs, then all windows of 6 words across lines: what is left of each document, word by word."""
+    rng = random.Random(31)
+    pool = [[f"p{k}x{i}" for i in range(rng.randrange(6, 14))] for k in range(12)]
+    rows = []
+    for i in range(40):
+        stream = [w for _ in range(rng.randrange(1, 5)) for w in ([f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(3, 9))] + (rng.choice(pool) if rng.random() < 0.6 else []))]
+        lines, at = [], 0
+        while at < len(stream):
+            n = rng.randrange(1, 15)
+            lines.append(" ".join(stream[at : at + n]))
+            at += n
+        rows.append((i if i != 20 else None, "\n".join(lines)))
+    rows.append(rows[0])
+    gone, stays = {}, {x[0]: x[4] for x in brute_paragraphs(rows)}
+    for i, t in rows:
+        gone[i, t] = set(range(t.count("\n") + 1)) - _kept(t, stays[i])
+    cut = brute_windows(rows, 6, gone)
+    want = []
+    for i, t in rows:
+        words = [(m.group(), t[: m.start()].count("\n")) for m in re.finditer(r"[^\W_]+", t)]
+        want.append((i, [w for k, (w, line) in enumerate(words) if line not in gone[i, t] and k not in cut.get((i, t), ())]))
+    got = [(r.doc_id, r.text.split()) for r in dedup_paragraphs(make_docs([(i, t, "en", "s") for i, t in rows]), window=6, reach=1).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert any(cut.values()) and any(gone.values())
+
+
+def _kept(text, left):
+    """Numbers of the lines of the text that are left."""
+    lines, out = left.split("\n") if left else [], set()
+    for k, x in enumerate(text.split("\n")):
+        if lines and lines[0] == x:
+            out.add(k)
+            lines.pop(0)
+    assert not lines
+    return out
+
+
 def test_windows_of_shared_words_are_selected():
     rng = random.Random(4)
     passage = [f"p{rng.randrange(10**6)}" for _ in range(39)]
@@ -231,9 +293,42 @@ def test_cutting_keeps_what_is_around():
     line = f"Before, İ it; ({passage}) after it!"
     where, hashes = similarity.winnowed(*similarity.hashed_words([line]), 20, 20)
     shared = {h for place, h in zip(where.tolist(), hashes.view(np.int64).tolist()) if 3 <= place <= 43}
-    left, cuts = cut_windows(line, shared, 20, 20)
+    left, cuts = cut_text(line, (), shared, 20, 20)
     assert cuts == 1 and left.startswith("Before, İ it") and left.endswith("after it!")
-    assert len(left.split()) <= 5 + 2 * 20 and cut_windows("short line", shared, 20, 20) == ("short line", 0)
+    assert len(left.split()) <= 5 + 2 * 20 and cut_text("short\n\nline", (), shared, 20, 20) == ("short\n\nline", 0)
+    wrapped = f"top line\n\nBefore {passage[:89]}\n{passage[90:]}\nafter it!\n"
+    every = set(similarity.winnowed(*similarity.hashed_words([passage]), 20, 1)[1].view(np.int64).tolist())
+    assert cut_text(wrapped, (), every, 20, 1) == ("top line\n\nBefore\nafter it!\n", 1)
+    assert cut_text(wrapped, (2, 3), every, 20, 1) == ("top line\n\nafter it!\n", 0)
+
+
+def test_words_know_their_lines_in_long_texts(monkeypatch):
+    rng = random.Random(8)
+    texts = ["\n".join(" ".join(f"w{rng.randrange(99)}" for _ in range(rng.randrange(0, 9))) for _ in range(rng.randrange(1, 60))) for _ in range(20)]
+    want = [[k for k, line in enumerate(t.split("\n")) for _ in line.split()] for t in texts]
+    small = similarity.pieces
+    monkeypatch.setattr(similarity, "pieces", lambda x: small(x, 50))
+    words, bounds, line = similarity.line_words(texts)
+    assert [line[lo:hi].tolist() for lo, hi in zip(bounds[:-1], bounds[1:])] == want
+    assert words.tolist() == similarity.hashed_words(texts)[0].tolist()
+
+
+def test_unique_text_is_never_lost(spark, make_docs):
+    dup = " ".join(f"same{i}" for i in range(50))
+    own = [" ".join(f"own{k}x{i}" for i in range(50)) for k in range(4)]
+    rows = [(1, dup), (None, dup), (None, own[0]), (None, own[1]), (7, dup), (7, own[2]), (9, own[3])]
+    got = [(r.doc_id, r.text) for r in dedup_paragraphs(make_docs([(i, t, "en", "s") for i, t in rows])).collect()]
+    assert sorted(got, key=repr) == sorted([(1, dup), (None, ""), (None, own[0]), (None, own[1]), (7, ""), (7, own[2]), (9, own[3])], key=repr)
+
+
+def test_no_long_run_is_left_whatever_the_lines(spark, make_docs):
+    rng = random.Random(14)
+    stream = [f"s{rng.randrange(10**6)}" for _ in range(140)]
+    wrap = lambda n: "\n".join(" ".join(stream[k : k + n]) for k in range(0, 140, n))
+    texts = [wrap(7), wrap(5), "head line\n" + wrap(140), "\n" * 300 + wrap(3), wrap(9) + "\nand a tail"]
+    left = [re.findall(r"\w+", r.text) for r in dedup_paragraphs(make_docs(texts)).collect()]
+    runs = [{tuple(w[k : k + 39]) for k in range(len(w) - 38)} for w in left]
+    assert not any(runs[a] & runs[b] for a in range(5) for b in range(a)) and set(stream) <= set(sum(left, []))
 
 
 def test_passages_inside_paragraphs_are_kept_once(spark, make_docs):
