@@ -6,7 +6,8 @@ equal. The tree has fixed depth: token count, then ``depth`` leading tokens. Lin
 one leaf are merged into a template where at least ``similarity`` of their tokens agree, the
 others becoming variable fields, too. A template that recurs in ``min_docs`` different texts
 is dropped, but for the document with the smallest doc_id, which keeps its lines. Copies of a
-text count as one, so a copied document does not turn its own lines into templates.
+text count as one, so a copied document does not turn its own lines into templates. Documents
+are told apart by doc_id and text.
 
 A leaf of up to ``leaf_lines`` distinct lines is merged in one task. A larger one is dealt to
 parts of about that size, which are folded to templates in parallel; the templates of ``FAN``
@@ -16,7 +17,8 @@ with it, the one it agrees with most; lines too short to vary in a token, or wit
 variable fields, can only equal others and are not sent to leaves.
 
 Defined results: lines of fewer than ``min_tokens`` tokens stay, by default only those without
-any; a null text stays null; rows that repeat a doc_id are one document; an empty table gives
+any; a null text stays null; rows without an id, or with a repeated one, are documents of their
+own if their texts differ, those without an id last; an empty table gives
 an empty result; columns of the input are returned as they are, whatever their names, but for
 the text.
 """
@@ -43,6 +45,11 @@ SHORT = 3
 FAN = 8
 
 
+def _last():
+    """What stands for a missing id where documents are ordered."""
+    return F.lit((1 << 63) - 1)
+
+
 class Lines:
     """The lines of some texts with at least ``min_tokens`` tokens: token hashes and line keys."""
 
@@ -208,24 +215,24 @@ def _strip(min_tokens: int, depth: int):
 def recurring_lines(
     docs: DataFrame, stage: Stage, min_docs: int, depth: int, similarity: float, min_tokens: int, leaf_lines: int, id_col: str, text_col: str
 ) -> DataFrame:
-    """(id, lines): the keys of the lines each document loses."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(text.alias("text"), F.col(id_col).cast("long").alias("id"))
+    """(id, content, lines): the keys of the lines each document loses."""
+    d = _documents(docs, id_col, text_col)
     keyed = stage.table(
-        d.select("text", "id", F.xxhash64("text").alias("content")).mapInArrow(
+        d.mapInArrow(
             _line_keys(min_tokens, depth, similarity), "id long, content long, line long, leaf long"
         )
     )
     # Distinct texts per line: copies fold before anything is counted.
-    once = keyed.groupBy("line", "leaf", "content").agg(F.min("id").alias("id"))
-    lines = stage.table(once.groupBy("line", "leaf").agg(F.count(F.lit(1)).alias("texts"), F.min("id").alias("first")))
+    once = keyed.groupBy("line", "leaf", "content").agg(F.min(F.coalesce("id", _last())).alias("id"))
+    lines = stage.table(once.groupBy("line", "leaf").agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct("id", "content")).alias("first")))
     # Leaves that several lines reach and whose lines could together recur often enough.
     reached = lines.where("leaf is not null").groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum("texts").alias("texts"))
     rich = stage.table(reached.where((F.col("n") > 1) & (F.col("texts") >= min_docs)).select("leaf", F.ceil(F.col("n") / leaf_lines).cast("int").alias("parts")))
     crowded = stage.table(lines.join(rich, "leaf").select("line", "first", "leaf", F.pmod("line", "parts").cast("int").alias("part"), "parts"))
     wanted = stage.table(crowded.groupBy("first").agg(F.collect_list(F.struct("line", "leaf", "part", "parts")).alias("wanted")))
     # The lines of crowded leaves grow with the corpus, so the join is planned for that at every size.
-    tokens = d.join(wanted.hint("merge"), d["id"].eqNullSafe(wanted["first"])).select("text", "wanted").mapInArrow(
+    at = (d["content"] == wanted["first.content"]) & (F.coalesce(d["id"], _last()) == wanted["first.id"])
+    tokens = d.join(wanted.hint("merge"), at).select("text", "wanted").mapInArrow(
         _line_tokens(min_tokens, depth), "leaf long, part int, parts int, line long, tokens binary"
     )
 
@@ -245,16 +252,23 @@ def recurring_lines(
     # A line that shares a template counts with it; any other is its own template.
     shared = merged.groupBy("template").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("template")
     grouped = stage.table(merged.join(shared, "template"))
-    texts_of = keyed.join(grouped, "line").select("template", "content", "id")
+    texts_of = keyed.join(grouped, "line").select("template", "content", F.coalesce("id", _last()).alias("id"))
     often = (
         texts_of.groupBy("template", "content").agg(F.min("id").alias("id"))
-        .groupBy("template").agg(F.count(F.lit(1)).alias("texts"), F.min("id").alias("first"))
+        .groupBy("template").agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct("id", "content")).alias("first"))
         .where(F.col("texts") >= min_docs)
     )
     by_template = grouped.join(often, "template").select("line", "first")
     alone = lines.where(F.col("texts") >= min_docs).join(grouped.select("line"), "line", "left_anti").select("line", "first")
     dropped = stage.table(by_template.unionByName(alone))
-    return keyed.join(dropped, "line").where(~F.col("id").eqNullSafe(F.col("first"))).groupBy("id").agg(F.collect_set("line").alias("lines"))
+    keeps = (F.coalesce("id", _last()) == F.col("first.id")) & (F.col("content") == F.col("first.content"))
+    return keyed.join(dropped, "line").where(~keeps).groupBy("id", "content").agg(F.collect_set("line").alias("lines"))
+
+
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(text, id, content) of every row; the content is a hash of the text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(text.alias("text"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("content"))
 
 
 def drop_recurring_lines(
@@ -263,7 +277,7 @@ def drop_recurring_lines(
     depth: int = 4,
     similarity: float = 0.85,
     min_tokens: int = 1,
-    leaf_lines: int = 2000,
+    leaf_lines: int = 250,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -271,9 +285,11 @@ def drop_recurring_lines(
     stage = Stage(docs.sparkSession, "line-templates")
     gone = stage.table(recurring_lines(docs, stage, min_docs, depth, similarity, min_tokens, leaf_lines, id_col, text_col))
     rest = [F.col(c) for c in docs.columns if c != text_col]
-    whole = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("key_id"), F.struct(*rest).alias("row"))
+    content = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    whole = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("key_id"), content.alias("key_content"), F.struct(*rest).alias("row"))
     # What documents lose grows with the corpus, so the join is planned for that at every size.
-    marked = whole.join(gone.hint("merge"), whole["key_id"].eqNullSafe(gone["id"]), "left").select("text", "lines", "row")
+    at = (whole["key_content"] == gone["content"]) & whole["key_id"].eqNullSafe(gone["id"])
+    marked = whole.join(gone.hint("merge"), at, "left").select("text", "lines", "row")
     schema = T.StructType(
         [T.StructField("text", T.StringType()), T.StructField("n_lines", T.IntegerType()), T.StructField("n_dropped", T.IntegerType()), T.StructField("row", marked.schema["row"].dataType)]
     )

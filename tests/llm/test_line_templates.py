@@ -147,3 +147,18 @@ def test_edges(spark, make_docs):
     assert set(out.select("row.*").columns) == set(df.columns) - {"text"}
     got = {r["row"].doc_id: r.text for r in out.collect()}
     assert got == {0: "same old line here\nown w0x", None: "", **{i: f"own w{i}x" for i in range(1, 6)}}
+
+
+def test_rows_without_an_id_or_with_a_repeated_one_are_documents_of_their_own(spark, make_docs):
+    rows = [(None, f"the same old line here\nown n{chr(97 + i)}x words", "en", "s") for i in range(9)] + [(7, f"another old line there\nown m{chr(97 + i)}x words", "en", "s") for i in range(6)]
+    rows += [(8, "the same old line here\nwith an id", "en", "s")] * 2
+    left = [(r["row"].doc_id, r.text) for r in drop_recurring_lines(make_docs(rows)).collect()]
+    assert sum("same old" in t for _, t in left) == 2 == sum("same old" in t for i, t in left if i == 8)
+    assert sum("another old" in t for _, t in left) == 1
+    assert sorted(t.split("\n")[-1] for _, t in left) == sorted(r[1].split("\n")[-1] for r in rows)
+
+
+def test_very_long_texts(spark, make_docs):
+    long = "\n".join(f"line of its own kind w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(15_000)) + "\nAll rights reserved here"
+    got = {r["row"].doc_id: (r.n_lines, r.n_dropped) for r in drop_recurring_lines(make_docs([long, *[f"w{chr(97 + k)}\nAll rights reserved here" for k in range(6)]]), similarity=1.0).collect()}
+    assert got[0] == (15_001, 0) and all(got[k] == (2, 1) for k in range(1, 7))
