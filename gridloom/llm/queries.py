@@ -54,7 +54,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(_table(spark, sf_dir, "documents")).drop("epochs")
+    return mix_sources(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").select("doc_id", "quality")).drop("epochs")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,16 +96,14 @@ FROM h WINDOW w AS (PARTITION BY text_sha256)
 """
 
 _OP7 = r"""
-WITH d AS (
-  SELECT doc_id, source, coalesce(text, '') AS t,
-         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         (('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE + 0.5)
+WITH q AS (SELECT doc_id, max(quality)::DOUBLE AS quality FROM labels GROUP BY doc_id),
+d AS (
+  SELECT d.doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, quality,
+         (('0x' || substr(md5('mix' || coalesce(d.doc_id::VARCHAR, 'null' || md5(coalesce(text, '')))), 1, 12))::BIGINT::DOUBLE + 0.5)
            / 281474976710656.0::DOUBLE AS u
-  FROM documents
+  FROM documents d LEFT JOIN q ON q.doc_id = d.doc_id
 ), k AS (
-  SELECT doc_id, source, size,
-         -ln(u) / (1.0::DOUBLE / (1.0::DOUBLE + abs(length(t)::DOUBLE / greatest(size, 1)::DOUBLE - 6.0::DOUBLE) / 6.0::DOUBLE)) AS key
-  FROM d
+  SELECT doc_id, source, size, -ln(u) / coalesce(0.25::DOUBLE + 0.75::DOUBLE * quality, 0.5::DOUBLE) AS key FROM d
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
@@ -140,7 +138,7 @@ WITH v AS (
     AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
 ), p AS (
   SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
-  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+  FROM (SELECT vec_id, min(q) AS q FROM v WHERE vec_id % 50 = 0 GROUP BY vec_id) a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
 )
 SELECT query_id, rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p

@@ -10,8 +10,8 @@ of each block are merged per query.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite component, and
 rows without an id take no part; vectors of another length than the query's are no candidates
-for it; a repeated id as query is answered once, is no candidate for itself, and as candidate
-counts once for each row; an empty table gives an empty result; other columns are ignored.
+for it; a repeated id as query is answered once, for the least of its vectors in order of
+components, is no candidate for itself, and as candidate counts once for each row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -116,7 +116,7 @@ def top_inner_products(
     """query_id, rank, vec_id, score for the rows whose id is divisible by ``every``."""
     v = vectors.select(F.col(id_col).cast("long").alias("id"), integer_components(F.col(vector_col)).alias("v")).where("id is not null and v is not null")
     v = v.withColumn("dim", F.size("v"))
-    queries = v.where(F.col("id") % every == 0).dropDuplicates(["id"])
+    queries = v.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
     shape = v.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("id") % every == 0).cast("long")).alias("q")).first()
     blocks, query_blocks = max(1, math.ceil(shape["n"] / block)), max(1, math.ceil((shape["q"] or 0) / query_block))
     packed_schema = "block int, dim int, ids binary, vectors binary"

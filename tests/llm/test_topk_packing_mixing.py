@@ -1,6 +1,8 @@
 import functools
+import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -9,8 +11,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from gridloom.llm.mixing import mix_sources
-from gridloom.llm.packing import Encoder, _best_fit, pack_documents, pack_lengths
+from gridloom.llm.mixing import mix_sources, mixed_documents
+from gridloom.llm.packing import Encoder, _best_fit, completions, lower_bound, pack_documents, pack_lengths
 from gridloom.llm.topk import SortedLists, top_inner_products
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -128,20 +130,80 @@ def test_packing_round_trip(spark, make_docs):
     assert pack_documents(make_docs([]), PATH).count() == 0
 
 
+def test_equal_rows_spread_over_groups(spark):
+    df = spark.createDataFrame([(None, "no id and the same text")] * 3000, "doc_id long, text string").repartition(4)
+    long = spark.createDataFrame([(1, "word " * 60_000)], "doc_id long, text string")
+    got = pack_documents(df.unionByName(long), PATH, group_docs=100).toPandas()
+    partial = got[got["length"] < 1024]
+    assert (partial.groupby(partial["sequence_id"] // 2**32).size()).max() < 250
+    assert got["sequence_id"].nunique() < got["length"].sum() / 1024 + 35 and (got[got["length"] == 1024]["offset"] == 0).all()
+    assert (got.groupby("sequence_id")["length"].sum() <= 1024).all()
+
+
+def every_filling(free, pieces):
+    """Sums and lengths of all maximal fillings that no piece can improve, by brute force."""
+    found = set()
+    for r in range(len(pieces) + 1):
+        for some in set(itertools.combinations(sorted(pieces, reverse=True), r)):
+            left = Counter(pieces) - Counter(some)
+            if sum(some) > free or any(a <= free - sum(some) for a in left):
+                continue
+            if not any(left[sum(part)] for k in range(2, r + 1) for part in itertools.combinations(some, k)):
+                found.add(some)
+    if any(f == (free,) for f in found):
+        return {(free,)}
+    return found
+
+
+def test_completions_are_all_undominated_fillings():
+    rng = random.Random(4)
+    for _ in range(150):
+        pieces = [rng.randrange(1, 30) for _ in range(rng.randrange(0, 9))]
+        free = rng.randrange(1, 80)
+        got = list(completions(free, sorted(set(pieces)), Counter(pieces)))
+        assert len(got) == len(set(got)) and set(got) == every_filling(free, pieces)
+        assert [free - sum(f) for f in got] == sorted(free - sum(f) for f in got)
+    assert next(completions(40, [10], {10: 6})) == (10, 10, 10, 10)
+
+
+def test_full_bins_of_many_pieces_are_found():
+    rng = random.Random(3)
+    better = 0
+    for _ in range(25):
+        lengths = []
+        for _ in range(2):
+            cuts = sorted(rng.sample(range(1, 1024), rng.choice([5, 6])))
+            lengths += [b - a for a, b in zip([0, *cuts], [*cuts, 1024])]
+        found = len(pack_lengths(np.array(lengths), 1024))
+        better += found < len(_best_fit(np.array(lengths), 1024))
+        assert found == 2
+    assert better > 10
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=9))
+def test_lower_bound_holds(lengths):
+    assert -(-sum(lengths) // 30) <= lower_bound(np.array(lengths, dtype=int), 30) <= best_bins(lengths, 30)
+
+
 def test_mix_meets_targets(spark, make_docs):
     rng = random.Random(1)
     rows = []
     for i in range(400):
         source = rng.choice(["a", "a", "a", "b", "c", None, "Z", "é"]) if i > 3 else "tiny"
         rows.append((i, " ".join("word" for _ in range(rng.randrange(0, 40))), "en", source))
-    rows += [(7, "twice here", "en", "b"), (7, "twice here", "en", "b"), (None, "no id", "en", "b"), (999, None, "en", "nul"), (998, "", "en", "nul")]
+    rows += [(5007, "twice here", "en", "b"), (5007, "twice here", "en", "b"), (None, "no id", "en", "b"), (999, None, "en", "nul"), (998, "", "en", "nul")]
     df = make_docs(rows).selectExpr("*", "1 as size", "2 as target", "3 as key", "4 as grp", "5 as offset")
-    got = mix_sources(df, carry=["doc_id", "source", "text"])
-    out = got.collect()
-    assert len(out) == len(rows) and sorted(map(str, out)) == sorted(map(str, mix_sources(df.repartition(7), carry=["doc_id", "source", "text"]).collect()))
-    assert all(r["size"] == len((r.text or "").split()) and r.taken <= 3 * r["size"] for r in out)
+    rated = spark.createDataFrame([(i, i % 2) for i in range(0, 400, 3)] + [(6, 1), (None, 0)], "doc_id long, quality int")
+    out = mix_sources(df, rated, slice_rows=30).collect()
+    assert len(out) == len(rows) and sorted(map(str, out)) == sorted(map(str, mix_sources(df.repartition(7), rated, slice_rows=1000).collect()))
+    source = {i: s for i, _, _, s in rows}
+    words = {i: len((t or "").split()) for i, t, _, _ in rows}
+    assert all(r.taken <= 3 * r["size"] and r["size"] == words[r.doc_id] for r in out)
+    copies = Counter(r.doc_id for r in mixed_documents(df, rated, slice_rows=50).collect())
+    assert copies == Counter({r.doc_id: 0 for r in out}) + sum((Counter({r.doc_id: r.epochs}) for r in out), Counter())
     sources = sorted({r[3] for r in rows if r[3] is not None}) + [None]
-    size = {s: sum(r["size"] for r in out if r.source == s) for s in sources}
+    size = {s: sum(r["size"] for r in out if source[r.doc_id] == s) for s in sources}
     weight = {s: k % 3 + 1 for k, s in enumerate(sources)}
     total, target, full = sum(size.values()), {}, set()
     while True:
@@ -153,8 +215,30 @@ def test_mix_meets_targets(spark, make_docs):
         full |= over
     target = {s: 3 * size[s] if s in full else share[s] for s in sources}
     for s in sources:
-        own = [r for r in out if r.source == s]
+        own = [r for r in out if source[r.doc_id] == s]
         assert all(abs(r.target - target[s]) < 1e-6 and r.source_size == size[s] for r in own)
         assert abs(sum(r.taken for r in own) - target[s]) <= max([r["size"] for r in own]) / 2 + 1e-6
         assert len({r.epochs for r in own}) <= 2
-    assert mix_sources(make_docs([])).count() == 0
+    assert mix_sources(make_docs([])).count() == 0 and mixed_documents(make_docs([])).count() == 0
+
+
+def test_better_documents_are_taken_first(spark, make_docs):
+    rows = [(i, "some words of equal number here", "en", "a" if i < 800 else "b") for i in range(1000)]
+    rated = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(1000)], "doc_id long, quality int")
+    took = {r.doc_id: r.epochs for r in mix_sources(make_docs(rows), rated, weights=(1, 3)).collect() if r.doc_id < 800}
+    good, bad = (sum(took[i] for i in took if i % 2 == k) for k in (0, 1))
+    assert set(took.values()) == {0, 1} and good > 1.8 * bad > 0
+
+
+def test_equal_rows_spread_over_slices(spark, make_docs):
+    rows = [(None, "same words", "en", "a")] * 500 + [(3, "same id", "en", "a")] * 500 + [(i, "no_spaces_at_all" * 9, "en", "a") for i in range(10, 510)]
+    docs = make_docs(rows)
+    out = mix_sources(docs, weights=(1,), slice_rows=100).collect()
+    assert len(out) == 1500 and all(r.epochs == 1 for r in out) and {r.target for r in out} == {2500.0}
+    assert mixed_documents(docs, weights=(1,), slice_rows=100).count() == 1500
+    two = make_docs([*rows, *[(i, "word " * 500, "en", "b") for i in range(1000, 1002)]])
+    for rows_of in (50, 10**6):
+        mixed = mix_sources(two, slice_rows=rows_of)
+        taken, target, size = mixed.where("source_size = 2500").selectExpr("sum(taken)", "max(target)", "max(size)").first()
+        assert abs(taken - target) <= size / 2
+        assert mixed_documents(two, slice_rows=rows_of).count() == mixed.agg({"epochs": "sum"}).first()[0]
