@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.line_templates import drop_recurring_lines
-from gridloom.llm.mixing import mix_sources
+from gridloom.llm.mixing import mixed_documents
 from gridloom.llm.ngram_join import keep_one_of_each
 from gridloom.llm.packing import pack_documents
 from gridloom.llm.staging import Stage
@@ -36,8 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = mix_sources(docs, carry=docs.columns).where("epochs > 0")
-    return mixed.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int")))).select(*docs.columns)
+    return mixed_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
