@@ -240,17 +240,22 @@ def dedup_paragraphs(
     # Only paragraphs with a copy or a link can go; the rest needs no shuffle.
     shared = nodes.select("node", "size").join(roots, "node", "left").where("size > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"))
     places = paragraphs.select("id", "row", "par", "node").join(shared, "node").select("root", F.struct(rep_of().alias("of"), F.col("par")).alias("place"))
-    first = stage.table(places.groupBy("root").agg(F.min("place").alias("first")))
+    first = stage.table(places.groupBy("root").agg(F.min("place").alias("first")), release=True)
     removed = stage.table(places.join(first, "root").where("place <> first").select("place.of.id", "place.of.row", "place.par", F.col("first.of.id").alias("keep")))
     # Windows that several documents hold, by their rows, which differ between any two documents.
     windows = signed.where("par is null").select("id", "row", F.explode(F.arrays_zip("windows", "from", "to")).alias("w"))
-    held = windows.groupBy(F.col("w.windows").alias("hash")).agg(F.min("row").alias("least"), F.max("row").alias("most"))
-    often = stage.table(held.where("least <> most").select("hash"))
-    hits = windows.join(often.hint("merge"), F.col("w.windows") == F.col("hash")).select("id", "row", F.struct("hash", "w.from", "w.to").alias("place"))
+    # The two line numbers travel as one number.
+    lines_of = F.shiftleft(F.col("w.from").cast("long"), 32).bitwiseOR(F.col("w.to").cast("long"))
+    windows = windows.select("id", "row", F.col("w.windows").alias("hash"), lines_of.alias("lines"))
+    held = windows.groupBy("hash").agg(F.min("row").alias("least"), F.max("row").alias("most"))
+    often = stage.table(held.where("least <> most").select("hash"), release=True)
+    hits = windows.join(often.hint("merge"), "hash").select(
+        "id", "row", F.struct("hash", F.shiftright("lines", 32).cast("int").alias("from"), F.col("lines").cast("int").alias("to")).alias("place")
+    )
     lines = stage.table(removed.groupBy(F.col("id").alias("of_id"), F.col("row").alias("of_row")).agg(F.collect_set("par").alias("gone")))
     of_doc = hits.groupBy("id", "row").agg(F.collect_list("place").alias("places"))
     beside = of_doc.join(lines.hint("merge"), (of_doc["row"] == lines["of_row"]) & of_doc["id"].eqNullSafe(lines["of_id"]), "left")
-    standing = stage.table(beside.select("id", "row", "places", "gone").mapInArrow(_standing, "id long, row long, hash long").distinct())
+    standing = stage.table(beside.select("id", "row", "places", "gone").mapInArrow(_standing, "id long, row long, hash long").distinct(), release=True)
     keepers = stage.table(standing.groupBy("hash").agg(F.min(rep_of()).alias("keep"), F.max(rep_of()).alias("other")).where("keep <> other").select("hash", "keep"))
     own = (F.col("row") == F.col("keep.row")) & F.col("id").eqNullSafe(F.col("keep.id"))
     cut = standing.join(keepers.hint("merge"), "hash").where(~own).select("id", "row", F.lit(None).cast("int").alias("par"), F.col("keep.id").alias("keep"), "hash")

@@ -313,7 +313,7 @@ def verified_links(
     sets = payload(wanted).groupBy("node").agg(F.first("shingles").alias("shingles"))
     rows = need.join(sets.hint("merge"), "node").select("key", "lo", "hi", "node", "block", "size", "keys", "grp", "shingles")
     found = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_verified(threshold), "node long, links long, root long")
-    links = stage.table(found)
+    links = stage.table(found, release=True)
     for done in (full, need):
         stage.drop(done)
     return links
