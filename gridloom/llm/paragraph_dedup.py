@@ -250,7 +250,7 @@ def dedup_paragraphs(
     held = windows.groupBy("hash").agg(F.min("row").alias("least"), F.max("row").alias("most"))
     often = stage.table(held.where("least <> most").select("hash"), release=True)
     hits = windows.join(often.hint("merge"), "hash").select(
-        "id", "row", F.struct("hash", F.shiftright("lines", 32).cast("int").alias("from"), F.col("lines").cast("int").alias("to")).alias("place")
+        "id", "row", F.struct("hash", F.shiftright("lines", 32).cast("int").alias("from"), F.col("lines").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("to")).alias("place")
     )
     lines = stage.table(removed.groupBy(F.col("id").alias("of_id"), F.col("row").alias("of_row")).agg(F.collect_set("par").alias("gone")))
     of_doc = hits.groupBy("id", "row").agg(F.collect_list("place").alias("places"))
