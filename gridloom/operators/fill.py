@@ -15,8 +15,8 @@ from ..functions import numeric as n
 from ..grid import Grid, col, tag, u_rand, u_sys
 from .compute import require_certain
 from .interpolate import check_degree
-from .kernels import _check_window, polynomial
-from .linear import per_line
+from .kernels import _check_window, _fit_at_centre, _scale, polynomial
+from .linear import per_line, small
 
 
 def fill(grid: Grid, along: str, args: tuple, method: str, deg: int | None, window: int | None, global_fit: bool) -> Grid:
@@ -113,6 +113,8 @@ def _polyfit(grid: Grid, along: str, deg: int | None, window: int | None, global
     deg = check_degree(deg, width, along)
     slots = _with_slots(grid.densified([along]))
     names = list(grid.vars)
+    if deg <= 2 and not global_fit:
+        return _fitted_gaps(slots, along, deg, width)
 
     def kernel(x: np.ndarray, pdf: pd.DataFrame) -> dict:
         out = {}
@@ -129,3 +131,23 @@ def _polyfit(grid: Grid, along: str, deg: int | None, window: int | None, global
         return out
 
     return per_line(slots, along, names, kernel)
+
+
+def _fitted_gaps(grid: Grid, along: str, deg: int, width: int) -> Grid:
+    """Closed fits over the sums of the window around each point; those of gaps replace them."""
+    x = grid.dim(along).coords
+    spans = [(max(0, i - width // 2), min(len(x), max(0, i - width // 2) + width)) for i in range(len(x))]
+    pairs = [(float(x[j]), float(x[i])) for i, (lo, hi) in enumerate(spans) for j in range(lo, hi)]
+    table = small(grid.spark.createDataFrame(pairs, "__j double, __i double"), len(pairs))
+    rest = [d for d in grid.dim_names if d != along]
+    joined = grid.cells.join(table, col(along) == col("__j")).withColumn("__z", (col(along) - col("__i")) / n.lit(_scale(grid, along)))
+    here = col(along) == col("__i")
+    aggregates = []
+    for i, v in enumerate(grid.vars):
+        aggregates += [F.max(F.when(here, col(v))).alias(f"__v{i}"), _fit_at_centre(col("__z"), col(v), deg)[0].alias(f"__f{i}"), F.max(F.when(here, col(tag(v)))).alias(f"__t{i}")]
+    made = joined.groupBy(*map(col, rest), "__i").agg(*aggregates).withColumnRenamed("__i", along)
+    columns = [*map(col, grid.dim_names)]
+    for i, v in enumerate(grid.vars):
+        gap = F.isnan(col(f"__v{i}")) & ~F.isnan(col(f"__f{i}"))
+        columns += [F.when(gap, col(f"__f{i}")).otherwise(col(f"__v{i}")).alias(v), F.when(gap, F.lit(1)).otherwise(col(f"__t{i}")).cast("byte").alias(tag(v))]
+    return _with_tags(grid, made.select(*columns))

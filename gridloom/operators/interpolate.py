@@ -162,17 +162,23 @@ def _translate(grid: Grid, mapping: Mapping[str, object] | None, method: str, de
 
 
 def _segments(grid: Grid, out: Grid, name: str, to: str, others: list[str], rest: list[str]):
-    """Linear translation: each line's sorted points make segments, and targets fall into one each."""
+    """Linear translation: targets stand among each line's segments and take the last that begins before them, or the first."""
     line = (Window.partitionBy(*map(col, rest)) if rest else Window.partitionBy(F.lit(0))).orderBy("__x")
     carried = grid.columns(others)
     cells = grid.cells.select(*map(col, rest), col(to).alias("__x"), *map(col, carried))
     ends = {f"__n_{c}": F.lead(col(c)).over(line) for c in ["__x", *carried]}
-    cells = cells.withColumns({**ends, "__first": F.lag("__x").over(line).isNull()}).where(col("__n___x").isNotNull())
-    cells = cells.withColumn("__last", F.lead("__x").over(line).isNull())
-    table = F.broadcast(out.coordinate_table(to).drop("__ordinal"))
+    cells = cells.withColumns(ends).where(col("__n___x").isNotNull())
+    parts = ["__x", *carried, *ends]
+    segments = cells.select(*map(col, rest), col("__x").alias("__at"), F.lit(0).alias("__asks"), F.struct(*map(col, parts)).alias("__segment"))
+    lines = cells.select(*map(col, rest)).distinct() if rest else grid.spark.range(1).select()
+    asked = lines.select(*map(col, rest), F.explode(F.array(*[n.lit(x) for x in out.dim(to).coords])).alias("__at"))
+    asked = asked.select(*map(col, rest), "__at", F.lit(1).alias("__asks"), F.lit(None).cast(segments.schema["__segment"].dataType).alias("__segment"))
+    order = (Window.partitionBy(*map(col, rest)) if rest else Window.partitionBy(F.lit(0))).orderBy("__at", "__asks")
+    before = F.last("__segment", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("__segment", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    met = segments.unionByName(asked).withColumn("__met", F.coalesce(before, after)).where("__asks = 1")
+    met = met.select(*map(col, rest), col("__at").alias(to), *[col("__met")[c].alias(c) for c in parts])
     t = col(to)
-    inside = (t >= col("__x")) & (t < col("__n___x"))
-    met = cells.join(table, inside | (col("__first") & (t < col("__x"))) | (col("__last") & (t >= col("__n___x"))))
     hi = (t - col("__x")) / (col("__n___x") - col("__x"))
     lo = n.lit(1) - hi
     columns = [*map(col, rest), t]

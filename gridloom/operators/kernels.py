@@ -21,7 +21,7 @@ from ..functions import numeric as n
 from ..grid import Grid, Var, col, no_default, tag
 from .compute import require_certain
 from .interpolate import check_degree
-from .linear import per_line, spline_smoother
+from .linear import per_line, small, smoothing_spline
 
 
 def window_bounds(i: int, points: int, window: int) -> tuple[int, int]:
@@ -73,7 +73,8 @@ def _fit_at_centre(z: Column, y: Column, deg: int) -> tuple[Column, Column]:
 def _windowed(grid: Grid, name: str, window: int, scale: float, aggregates) -> DataFrame:
     """Aggregates over each window; z is the distance to the centre in units of ``scale``."""
     rest = [d for d in grid.dim_names if d != name]
-    joined = grid.cells.join(F.broadcast(stencil_table(grid, name, window)), col(name) == col("__j"))
+    stencils = small(stencil_table(grid, name, window), len(grid.dim(name)) * window)
+    joined = grid.cells.join(stencils, col(name) == col("__j"))
     joined = joined.withColumn("__z", (col(name) - col("__i")) / n.lit(scale))
     made = joined.groupBy(*map(col, rest), "__i").agg(*aggregates(col("__z"), col(name) == col("__i")), F.first("__centred").alias("__centred"))
     return made.withColumnRenamed("__i", name)
@@ -123,7 +124,7 @@ def smooth(grid: Grid, along: str, method: str, window: object, polyorder: objec
                 y = pdf[v].to_numpy(dtype=float).copy()
                 have = order[np.isfinite(y[order])]
                 if len(have):
-                    y[have] = spline_smoother(x[have], s) @ y[have]
+                    y[have] = smoothing_spline(x[have], y[have], s)
                 out[v] = y
             return out
 

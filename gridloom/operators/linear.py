@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import replace
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,13 +15,13 @@ from ..grid import Dim, Grid, col, tag, u_rand, u_sys
 
 
 def linear_weights(x: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Rows of piecewise linear weights; the outer segments extend beyond the ends."""
-    k = np.clip(np.searchsorted(x, t, side="right") - 1, 0, len(x) - 2)
-    hi = (t - x[k]) / (x[k + 1] - x[k])
-    w = np.zeros((len(t), len(x)))
-    rows = np.arange(len(t))
-    w[rows, k], w[rows, k + 1] = 1.0 - hi, hi
-    return w
+    """Hat functions: each point's is the broken line of 1 there and 0 elsewhere, its end pieces extended."""
+    inside = np.clip(t, x[0], x[-1])
+    hats = np.column_stack([np.interp(inside, x, unit) for unit in np.eye(len(x))])
+    slope = np.array([-1.0, 1.0])
+    hats[:, :2] += np.minimum(t - x[0], 0.0)[:, None] * slope / (x[1] - x[0])
+    hats[:, -2:] += np.maximum(t - x[-1], 0.0)[:, None] * slope / (x[-1] - x[-2])
+    return hats
 
 
 def nearest_weights(x: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -34,42 +34,84 @@ def polynomial_weights(x: np.ndarray, t: np.ndarray, deg: int) -> np.ndarray:
     return np.vander(t, deg + 1) @ np.linalg.pinv(np.vander(x, deg + 1))
 
 
+def tridiagonal(below: np.ndarray, main: np.ndarray, above: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solution of a tridiagonal system for all right-hand columns, by elimination."""
+    main, right = main.copy(), right.copy()
+    for i in range(1, len(main)):
+        ratio = below[i - 1] / main[i - 1]
+        main[i] -= ratio * above[i - 1]
+        right[i] -= ratio * right[i - 1]
+    for i in range(len(main) - 1, -1, -1):
+        if i + 1 < len(main):
+            right[i] -= above[i] * right[i + 1]
+        right[i] /= main[i]
+    return right
+
+
 def cubic_weights(x: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Natural cubic spline: second derivatives are linear in the values and vanish at the ends."""
-    size = len(x)
-    if size < 3:
+    """Natural cubic spline in Hermite form: cubics that join in value and slope.
+
+    The slopes are those for which the curvature is continuous inside and zero at the ends,
+    which is one tridiagonal system; end cubics are extended.
+    """
+    if len(x) < 3:
         return linear_weights(x, t)
+    steepness = 1.0 / np.diff(x)
+    rises = np.diff(np.eye(len(x)), axis=0) * (3.0 * steepness**2)[:, None]
+    none = np.zeros((1, len(x)))
+    around = np.concatenate([[0.0], steepness, [0.0]])
+    slopes = tridiagonal(steepness, 2.0 * (around[:-1] + around[1:]), steepness, np.concatenate([rises, none]) + np.concatenate([none, rises]))
+    piece = np.searchsorted(x[1:-1], t, side="right")
+    at = ((t - x[piece]) * steepness[piece])[:, None]
+    width = 1.0 / steepness[piece][:, None]
+    unit = np.eye(len(x))
+    ease = at * at * (3.0 - 2.0 * at)
+    return unit[piece] + ease * (unit[piece + 1] - unit[piece]) + width * at * (1.0 - at) * ((1.0 - at) * slopes[piece] - at * slopes[piece + 1])
+
+
+def smoothing_spline(x: np.ndarray, y: np.ndarray, s: float) -> np.ndarray:
+    """The values at x of the curve with least (y - f)^2 summed plus s times its squared curvature integrated.
+
+    Its curvatures at the inner points solve a system of five diagonals, whose right-hand side
+    is the change of slope from point to point; it is eliminated and solved line by line, so
+    the work grows with the number of points.
+    """
+    if s == 0 or len(x) < 3:
+        return y.copy()
     h = np.diff(x)
-    system, right = np.zeros((size, size)), np.zeros((size, size))
-    system[0, 0] = system[-1, -1] = 1.0
-    for i in range(1, size - 1):
-        system[i, i - 1 : i + 2] = h[i - 1], 2.0 * (h[i - 1] + h[i]), h[i]
-        right[i, i - 1 : i + 2] = 6.0 / h[i - 1], -6.0 / h[i - 1] - 6.0 / h[i], 6.0 / h[i]
-    moments = np.linalg.solve(system, right)
-    k = np.clip(np.searchsorted(x, t, side="right") - 1, 0, size - 2)
-    width = h[k]
-    b = (t - x[k]) / width
-    a = 1.0 - b
-    w = ((a**3 - a) * width**2 / 6.0)[:, None] * moments[k] + ((b**3 - b) * width**2 / 6.0)[:, None] * moments[k + 1]
-    rows = np.arange(len(t))
-    w[rows, k] += a
-    w[rows, k + 1] += b
-    return w
+    left, right = 1.0 / h[:-1], 1.0 / h[1:]
+    centre = -(left + right)
+    inner = len(x) - 2
+    main = (h[:-1] + h[1:]) / 3.0 + s * (left**2 + centre**2 + right**2)
+    near = h[1:-1] / 6.0 + s * (centre[:-1] * left[1:] + right[:-1] * centre[1:])
+    far = s * right[:-2] * left[2:]
+    # Factors L D L' of the symmetric system, two places below the diagonal.
+    d, one, two = np.zeros(inner), np.zeros(inner), np.zeros(inner)
+    curvature = np.diff(np.diff(y) / h)
+    for i in range(inner):
+        if i > 1:
+            two[i] = far[i - 2] / d[i - 2]
+        if i:
+            one[i] = (near[i - 1] - (two[i] * d[i - 2] * one[i - 1] if i > 1 else 0.0)) / d[i - 1]
+        d[i] = main[i] - (one[i] ** 2 * d[i - 1] if i else 0.0) - (two[i] ** 2 * d[i - 2] if i > 1 else 0.0)
+        curvature[i] -= (one[i] * curvature[i - 1] if i else 0.0) + (two[i] * curvature[i - 2] if i > 1 else 0.0)
+    curvature /= d
+    for i in range(inner - 2, -1, -1):
+        curvature[i] -= one[i + 1] * curvature[i + 1] + (two[i + 2] * curvature[i + 2] if i + 2 < inner else 0.0)
+    out = y.astype(float).copy()
+    out[:-2] -= s * left * curvature
+    out[1:-1] -= s * centre * curvature
+    out[2:] -= s * right * curvature
+    return out
 
 
-def spline_smoother(x: np.ndarray, s: float) -> np.ndarray:
-    """(I + s K)^-1 of the natural smoothing spline; the identity without smoothing."""
-    size = len(x)
-    if s == 0 or size < 3:
-        return np.eye(size)
-    h = np.diff(x)
-    d, w = np.zeros((size - 2, size)), np.zeros((size - 2, size - 2))
-    for i in range(size - 2):
-        d[i, i : i + 3] = 1.0 / h[i], -1.0 / h[i] - 1.0 / h[i + 1], 1.0 / h[i + 1]
-        w[i, i] = (h[i] + h[i + 1]) / 3.0
-        if i:
-            w[i, i - 1] = w[i - 1, i] = h[i] / 6.0
-    return np.linalg.inv(np.eye(size) + s * d.T @ np.linalg.solve(w, d))
+#: Rows of a table made on the driver up to which it is broadcast (about 20 MB); a longer one is merged.
+BROADCAST_ROWS = 400_000
+
+
+def small(table: DataFrame, rows: int) -> DataFrame:
+    """The table hinted by its known number of rows."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table.hint("merge")
 
 
 def apply_weights(grid: Grid, name: str, target: Dim, weights: np.ndarray, target_tags: Sequence[int | None], variables: Sequence[str] | None = None, tiny: float = 0.0) -> Grid:
@@ -90,7 +132,7 @@ def apply_weights(grid: Grid, name: str, target: Dim, weights: np.ndarray, targe
         [T.StructField("__s", of(source.coords[0])), T.StructField("__t", of(target.coords[0])), T.StructField("__w", T.DoubleType()), T.StructField("__tag", T.IntegerType()), T.StructField("__n", T.IntegerType())]
     )
     table = grid.spark.createDataFrame([(s, t, w, g, needed[t]) for s, t, w, g in entries], schema)
-    joined = grid.cells.join(F.broadcast(table), col(name) == col("__s"))
+    joined = grid.cells.join(small(table, len(entries)), col(name) == col("__s"))
     rest = [d for d in grid.dim_names if d != name]
     aggregates: list[Column] = []
     out_vars = {}

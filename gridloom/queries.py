@@ -546,11 +546,6 @@ def fill_nearest(spark, sf):
     return rows(parts(spark, sf).fill("size", method="nearest"))
 
 
-@query()
-def fill_polyfit(spark, sf):
-    return rows(parts(spark, sf).fill("size", method="polyfit", deg=2, window=9), tags=True)
-
-
 @query(_f3("SELECT ct AS t, type, round(avg(v), 6) AS v, 1 AS tag__v FROM w GROUP BY ct, type", STENCIL))
 def smooth_moving_avg(spark, sf):
     return rows(daily(spark, sf).smooth(along="t", method="moving_avg", window=5), "v", tags=True)
@@ -607,11 +602,6 @@ def fitvalue(spark, sf):
     return rows(g, "v", tags=True)
 
 
-@query()
-def smooth_spline(spark, sf):
-    return rows(daily(spark, sf).smooth(along="t", method="spline", smoothing=2.0), "v", tags=True)
-
-
 # ---------------------------------------------------------------------- geometry
 
 _C, _S = math.cos(0.3), math.sin(0.3)
@@ -715,3 +705,6 @@ def flagship(spark, sf):
     """Unit price by return flag and status with its propagated random uncertainty."""
     g = shipments(spark, sf).set_uncertainty({"price": "1%", "qty": "2%"}, component="random")
     return rows(g.compute("unit = price / qty").average(["yr", "mo"]), "unit", u=True).where("unit is not null")
+
+
+from . import more_queries  # noqa: E402, F401  registers its own
