@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import Stage
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SLOTS = 4
 _MAX_KICKS = 200
@@ -164,11 +166,14 @@ def _merge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_live: int = 200_000) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     normal = F.translate(F.coalesce(F.col(text_col), F.lit("")), _UPPER, _UPPER.lower())
-    rows = (
+    stage = Stage(docs.sparkSession, "exact-dedup")
+    counted = (
         docs.select(F.unhex(F.sha2(F.encode(normal, "UTF-8"), 256)).alias("digest"), F.col(id_col).cast("long").alias("doc_id"))
         .groupBy("digest", "doc_id")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
+    # Written, so that every text is read and hashed once.
+    rows = stage.table(counted)
     groups = (
         rows.select("digest", "doc_id", "rows")
         .mapInArrow(_index_partition(max_live), _GROUP_SCHEMA)
