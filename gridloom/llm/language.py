@@ -121,13 +121,16 @@ def _document_frequencies(dims: int):
 
 
 def _sampled(dims: int):
-    schema = pa.schema([("lang", pa.string()), ("v", pa.binary())])
+    schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("v", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, 0):
-            rows = np.concatenate(list(gram_counts(texts, dims)))
-            packed = [np.log1p(r).astype(np.float16).tobytes() for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(packed, pa.binary())], schema=schema)
+            at = 0
+            for rows in gram_counts(texts, dims):
+                part = batch.slice(at, len(rows))
+                packed = [np.log1p(r).astype(np.float16).tobytes() for r in rows]
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(packed, pa.binary())], schema=schema)
+                at += len(rows)
 
     return run
 
@@ -150,7 +153,8 @@ def fit_language(
     wanted = F.lit(False)
     for lang, n in of_lang.items():
         wanted = wanted | ((F.col("lang") == F.lit(lang)) & (slot < int(max(1.0, 1_000_000 * min(1.0, each / n)))))
-    sample = rows.where(wanted).select("text", "lang").mapInArrow(_sampled(dims), "lang string, v binary").limit(2 * sample_rows).toPandas()
+    drawn = rows.where(wanted).select("text", "lang", F.xxhash64("text", F.col("i").cast("string")).alias("h"))
+    sample = drawn.mapInArrow(_sampled(dims), "lang string, h long, v binary").orderBy("h", "lang").limit(2 * sample_rows).toPandas()
     langs, centroids, lang_of, reach = sorted(sample["lang"].unique()), [], [], []
     x = np.stack([np.frombuffer(v, dtype=np.float16) for v in sample["v"]]).astype(np.float32) if len(sample) else np.zeros((0, dims), dtype=np.float32)
     x = _unit(x * idf)

@@ -22,7 +22,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _held_out(doc_id: str = "doc_id"):
-    return (F.crc32(F.col(doc_id).cast("string")) % 5 == 0).alias("held_out")
+    """False for a row without an id, from which nothing is learned either."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False)).alias("held_out")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
