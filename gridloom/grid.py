@@ -512,15 +512,15 @@ class Grid:
 
         return diagnostics(self, log)
 
-    def to_csv(self, path, *, split_by: str | None = None, allow_draft: bool = False):
+    def to_csv(self, path, *, split_by: str | None = None, allow_draft: bool = False, distributed: bool = False):
         from .sources.export import to_csv
 
-        return to_csv(self, path, split_by, allow_draft)
+        return to_csv(self, path, split_by, allow_draft, distributed)
 
-    def to_json(self, path, *, allow_draft: bool = False):
+    def to_json(self, path, *, allow_draft: bool = False, distributed: bool = False):
         from .sources.export import to_json
 
-        return to_json(self, path, allow_draft)
+        return to_json(self, path, allow_draft, distributed)
 
     def to_pandas(self, *, allow_draft: bool = False):
         from .sources.export import to_pandas

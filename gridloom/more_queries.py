@@ -380,6 +380,18 @@ def csv_split_by(spark, sf):
     return spark.createDataFrame(found, "file string, lines long, v double")
 
 
+@query(f"WITH {F6} SELECT x, pr, round(v, 6) AS v FROM f6")
+def csv_distributed(spark, sf):
+    folder = priorities(spark, sf).to_csv(f"{_scratch(spark)}/out", distributed=True, split_by="pr")
+    return spark.read.option("header", True).schema("x double, v double, pr string").csv(folder).select("x", "pr", F.round("v", 6).alias("v"))
+
+
+@query(f"WITH {F6} SELECT x, pr, round(v, 6) AS v FROM f6")
+def json_distributed(spark, sf):
+    folder = priorities(spark, sf).to_json(f"{_scratch(spark)}/out", distributed=True)
+    return spark.read.schema("x double, pr string, v double").json(folder).select("x", "pr", F.round("v", 6).alias("v"))
+
+
 @query(f"WITH {F6} SELECT x, pr, round(v, 6) AS v, round(v * 0.01, 6) AS u FROM f6")
 def json_round_trip(spark, sf):
     folder = tempfile.mkdtemp(prefix="gridloom-")

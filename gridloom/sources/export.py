@@ -12,9 +12,11 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from ..errors import ExportError
 from ..grid import Grid, col, u_rand, u_sys
+from . import files
 
 
 def _allow(grid: Grid, allow_draft: bool, in_memory: bool = False) -> bool:
@@ -65,9 +67,34 @@ def _write_csv(path: Path, banner: list[str], names: list[str], rows: Iterator)
     beside.replace(path)
 
 
-def to_csv(grid: Grid, path, split_by: str | None, allow_draft: bool):
-    """One dense table, rows streamed to the driver a partition at a time; or one per coordinate."""
+def _folder(grid: Grid, path, draft: bool, split_by: str | None, form: str) -> str:
+    """A folder that the tasks write: all cells in grid order, a part file each, and the banner beside them.
+
+    Parts hold ranges of the grid's order, so their names sort as the cells do; ``split_by``
+    makes a subfolder for each coordinate.
+    """
+    if split_by is not None:
+        grid.dim(split_by)
+    cells = ordered(grid).select(*map(col, grid.dim_names), *[F.when(~F.isnan(col(v)), col(v)).alias(v) for v in grid.vars])
+    writer = cells.write.mode("error")
+    if split_by is not None:
+        writer = writer.partitionBy(split_by)
+    if form == "csv":
+        writer.option("header", True).option("emptyValue", "").csv(str(path))
+    else:
+        writer.option("ignoreNullFields", False).json(str(path))
+    files.write_text(grid.spark, f"{str(path).rstrip('/')}/_banner.txt", "\n".join(_banner(grid, draft)) + "\n")
+    return str(path)
+
+
+def to_csv(grid: Grid, path, split_by: str | None, allow_draft: bool, distributed: bool = False):
+    """One dense table, rows streamed to the driver a partition at a time; or one per coordinate.
+
+    With ``distributed`` the tasks write a folder of part files instead, on any path Spark writes.
+    """
     draft = _allow(grid, allow_draft)
+    if distributed:
+        return _folder(grid, path, draft, split_by, "csv")
     path = Path(path)
     names = [*grid.dim_names, *grid.vars]
     if split_by is None:
@@ -128,9 +155,14 @@ def _json(values: np.ndarray):
     return [None if math.isnan(x) else x if math.isfinite(x) else ("Infinity" if x > 0 else "-Infinity") for x in values.tolist()]
 
 
-def to_json(grid: Grid, path, allow_draft: bool) -> Path:
-    """Provenance, history, dimensions, variables and uncertainties as nested lists."""
+def to_json(grid: Grid, path, allow_draft: bool, distributed: bool = False) -> Path | str:
+    """Provenance, history, dimensions, variables and uncertainties as nested lists.
+
+    With ``distributed`` the tasks write a folder of JSON lines instead, one per cell.
+    """
     draft = _allow(grid, allow_draft)
+    if distributed:
+        return _folder(grid, path, draft, None, "json")
     path = Path(path)
     mirrors = [c for v, s in grid.vars.items() for c, has in ((u_sys(v), s.sys), (u_rand(v), s.rand)) if has]
     arrays = _arrays(grid, [*grid.vars, *mirrors])

@@ -108,6 +108,19 @@ def test_exports(grid, tmp_path):
     assert report.variables["CT"]["missing"] == 1 and (tmp_path / "d.csv").read_text().startswith("variable")
 
 
+def test_distributed_exports(spark, grid, tmp_path):
+    folder = grid.to_csv(f"{tmp_path}/parts", distributed=True)
+    back = spark.read.option("header", True).schema("mach double, alpha double, CT double").csv(folder)
+    assert sorted(map(tuple, back.collect()), key=str) == sorted([(0.1, 0.0, 0.2), (0.1, 2.0, 2.2), (0.2, 0.0, 0.30000000000000004), (0.2, 2.0, None)], key=str)
+    assert "pivot" in (tmp_path / "parts" / "_banner.txt").read_text()
+    split = grid.to_csv(f"{tmp_path}/split", distributed=True, split_by="mach")
+    assert sorted(p.name for p in (tmp_path / "split").glob("mach=*")) == ["mach=0.1", "mach=0.2"] and split.endswith("split")
+    lines = spark.read.json(grid.to_json(f"{tmp_path}/lines", distributed=True))
+    assert lines.count() == 4 and lines.where("CT is null").count() == 1
+    with pytest.raises(er.DimensionError):
+        grid.to_csv(f"{tmp_path}/none", distributed=True, split_by="nothing")
+
+
 def test_modes(grid, tmp_path):
     draft = grid.demote(comment="trial")
     quiet = draft.compute("z = CT * 2")
