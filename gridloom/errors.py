@@ -31,6 +31,10 @@ class DimensionError(GridError):
     """A dimension is missing or has the wrong shape for the operation."""
 
 
+class DimensionNotFoundError(DimensionError):
+    """A dimension that the grid does not have."""
+
+
 class NonNumericDimensionError(DimensionError):
     """A numeric operation along a dimension of strings."""
 
@@ -39,6 +43,10 @@ class VariableError(GridError):
     """A variable is missing or unfit."""
 
 
+class AxisTranslationError(VariableError):
+    """A variable that cannot replace a dimension."""
+
+
 class SelectionError(GridError):
     """A selection that names or leaves nothing."""
 
@@ -71,10 +79,26 @@ class CorrelationError(UncertaintyError):
     """Coefficients that no covariance matrix has."""
 
 
+class CorrelationKeyError(CorrelationError):
+    """A coefficient of names that have none."""
+
+
 class AxisError(GridError):
     """Axes, rotations and vector groups."""
 
 
+class AxisNotFoundError(AxisError):
+    """An axis that is neither built in nor registered."""
+
+
+class RotationMatrixError(AxisError):
+    """A matrix that is no rotation."""
+
+
+class VectorGroupError(AxisError):
+    """A vector group that is missing, taken or unfit."""
+
+
 class ModeError(GridError):
     """Draft and production mode."""
 
@@ -91,10 +115,22 @@ class WorkflowError(GridError):
     """Equation files."""
 
 
+class WorkflowFileError(WorkflowError):
+    """An equation file that cannot be read as one."""
+
+
+class WorkflowCycleError(WorkflowError):
+    """Equations that need each other."""
+
+
 class RegistryError(GridError):
     """Names of processors and accessors."""
 
 
+class ProcessorNotFoundError(RegistryError):
+    """A processor that is not registered."""
+
+
 class ExportError(GridError):
     """Files that cannot be written as asked."""
 

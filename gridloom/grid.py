@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .errors import DataError, DimensionError, DuplicateNameError, NonNumericDimensionError, VariableError
+from .errors import DataError, DimensionError, DimensionNotFoundError, DuplicateNameError, NonNumericDimensionError, VariableError
 from .functions import numeric as n
 from .plans.history import History, Provenance, Step
 
@@ -252,7 +252,7 @@ class Grid:
                 if numeric and not d.numeric:
                     raise NonNumericDimensionError(name, "its coordinates are strings", "Choose a numeric dimension: " + (", ".join(x.name for x in self.dimensions if x.coords is not None and x.numeric) or "there is none"))
                 return d
-        raise DimensionError(name, "is not a dimension with coordinates", "Dimensions are: " + (", ".join(self.dim_names) or "none; pivot the datapoints first"))
+        raise DimensionNotFoundError(name, "is not a dimension with coordinates", "Dimensions are: " + (", ".join(self.dim_names) or "none; pivot the datapoints first"))
 
     def var(self, name: str) -> Var:
         if name not in self.vars:

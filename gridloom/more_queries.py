@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import tempfile
 import uuid
@@ -11,9 +12,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import Grid, errors, load, load_pipeline, processor, register_processor, set_user
+from . import Axis, Grid, errors, load, load_pipeline, processor, register_processor, set_user
 from .plans import registry
-from .queries import _DET, _SUMS, STENCIL, _f1, _f3, _r, _table, daily, parts, query, rows, shipments
+from .queries import _DET, _SUMS, STENCIL, _f1, _f3, _r, _table, daily, parts, query, rows, shipments, vectors
 
 
 def priorities(spark: SparkSession, sf: str) -> Grid:
@@ -179,7 +180,7 @@ def _refusals(**cases: str) -> str:
     return "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in cases.items()) + ") AS r(refused, error)"
 
 
-@query(_refusals(absent="DimensionError", text="NonNumericDimensionError", repeated="DimensionError", interpolated="UncertaintyLineageError", twice="none"))
+@query(_refusals(absent="DimensionNotFoundError", text="NonNumericDimensionError", repeated="DimensionError", interpolated="UncertaintyLineageError", twice="none"))
 def refuse_reductions(spark, sf):
     g = priorities(spark, sf)
     points = g.set_uncertainty({"v": 0.1}, component="random").interpolate({"x": [0.5, 1.5]})
@@ -268,6 +269,48 @@ def refuse_sources(spark, sf):
     )
 
 
+@query(_refusals(matrix="RotationMatrixError", axis="AxisNotFoundError", group="VectorGroupError", angles="AxisError", point="AxisError", translation="AxisTranslationError"))
+def refuse_geometry(spark, sf):
+    g = vectors(spark, sf).declare_vector("force", ("FX", "FY", "FZ"))
+    return _refused(
+        spark,
+        {
+            "matrix": lambda: Axis("bent", rotation_matrix=((1.0, 0.0, 0.0), (0.0, 2.0, 0.0), (0.0, 0.0, 1.0))),
+            "axis": lambda: g.rotate("nowhere", vector_groups=["force"]),
+            "group": lambda: g.rotate("wind", vector_groups=["none"]),
+            "angles": lambda: Axis("both"),
+            "point": lambda: g.translate_moments(to_point=(1, 2)),
+            "translation": lambda: daily(spark, sf).interpolate({"v": [1.0]}, axisTranslation={"from": "t", "to": "v"}),
+        },
+    )
+
+
+_FILES = {
+    "section": "[other]\n",
+    "meta": "[equations]\na = '1'\n",
+    "cycle": "[meta]\n[equations]\na = 'b'\nb = 'a'\n",
+    "order": "[meta]\n[equations]\na = 'b'\nb = 'price'\n",
+    "constant": "[meta]\n[constants]\nc = inf\n[equations]\na = 'c'\n",
+}
+
+
+@query(_refusals(section="WorkflowFileError", meta="WorkflowFileError", cycle="WorkflowCycleError", order="WorkflowFileError", constant="WorkflowFileError", sorted="none", absent="ProcessorNotFoundError", name="RegistryError"))
+def refuse_workflows(spark, sf):
+    folder = Path(tempfile.mkdtemp(prefix="gridloom-"))
+    for name, text in _FILES.items():
+        (folder / f"{name}.toml").write_text(text)
+    calls = {name: functools.partial(processor, folder / f"{name}.toml") for name in _FILES}
+    return _refused(
+        spark,
+        {
+            **calls,
+            "sorted": lambda: processor(folder / "order.toml", auto_sort=True),
+            "absent": lambda: processor("nobody"),
+            "name": lambda: register_processor("", _Doubled),
+        },
+    )
+
+
 @query(_refusals(promote="ModeError", mode="ModeError", memory="ExportError", combine="CombineError", stream="none"))
 def refuse_modes(spark, sf):
     g = priorities(spark, sf)

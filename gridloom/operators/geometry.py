@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..errors import AxisError, UncertaintyLineageError
+from ..errors import AxisError, AxisNotFoundError, RotationMatrixError, UncertaintyLineageError, VectorGroupError
 from ..functions import numeric as n
 from ..grid import Grid, col, u_rand, u_sys
 from .uncertainty import clamped_root, correlated
@@ -39,11 +39,11 @@ class Axis:
         if self.rotation_matrix is not None:
             m = np.asarray(self.rotation_matrix, dtype=float)
             if m.shape != (3, 3) or not np.isfinite(m).all():
-                raise AxisError(self.name, "the matrix is not 3 by 3", "Pass three rows of three numbers")
+                raise RotationMatrixError(self.name, "the matrix is not 3 by 3", "Pass three rows of three numbers")
             if np.abs(m @ m.T - np.eye(3)).max() > 1e-9:
-                raise AxisError(self.name, "the matrix is not orthogonal", "Normalise its rows")
+                raise RotationMatrixError(self.name, "the matrix is not orthogonal", "Normalise its rows")
             if np.linalg.det(m) < 0:
-                raise AxisError(self.name, "the matrix is a reflection", "Use a right-handed frame")
+                raise RotationMatrixError(self.name, "the matrix is a reflection", "Use a right-handed frame")
             object.__setattr__(self, "rotation_matrix", tuple(map(tuple, m.tolist())))
         else:
             angles = (self.angles_from,) if isinstance(self.angles_from, str) else tuple(self.angles_from)
@@ -83,21 +83,21 @@ class Axes:
         if name == "wind":
             return Axis("wind", angles_from=("alpha", "beta"), convention="wind")
         if name not in self.registered:
-            raise AxisError(name, "unknown axis", "Axes are: " + ", ".join([*BUILT_IN, *self.registered]))
+            raise AxisNotFoundError(name, "unknown axis", "Axes are: " + ", ".join([*BUILT_IN, *self.registered]))
         return self.registered[name]
 
     def declare(self, name: str, components: tuple, axis: str, variables: Collection[str]) -> Axes:
         self.axis(axis)
         if name in self.groups:
-            raise AxisError(name, "the group exists", "Choose another name")
+            raise VectorGroupError(name, "the group exists", "Choose another name")
         if len(components) != 3 or len(set(components)) != 3:
-            raise AxisError(name, f"{components} are not three variables", "Name three different ones")
+            raise VectorGroupError(name, f"{components} are not three variables", "Name three different ones")
         absent = [c for c in components if c not in variables]
         if absent:
-            raise AxisError(name, f"{absent} are no variables", "Variables are: " + ", ".join(variables))
+            raise VectorGroupError(name, f"{absent} are no variables", "Variables are: " + ", ".join(variables))
         taken = {c for g in self.groups.values() for c in g.components} & set(components)
         if taken:
-            raise AxisError(name, f"{sorted(taken)} belong to another group", "A variable is in one group")
+            raise VectorGroupError(name, f"{sorted(taken)} belong to another group", "A variable is in one group")
         return replace(self, groups={**self.groups, name: Group(components, axis)})
 
     def without(self, names: Collection[str]) -> Axes:
@@ -118,7 +118,7 @@ class Axes:
 
     def group_axis(self, name: str) -> str:
         if name not in self.groups:
-            raise AxisError(name, "unknown vector group", "Groups are: " + (", ".join(self.groups) or "none"))
+            raise VectorGroupError(name, "unknown vector group", "Groups are: " + (", ".join(self.groups) or "none"))
         return self.groups[name].axis
 
     def current(self) -> dict:
@@ -241,10 +241,10 @@ def rotate(grid: Grid, target_axis: str, vector_groups: Sequence[str] | None) ->
     if vector_groups is not None:
         absent = [g for g in vector_groups if g not in groups]
         if absent:
-            raise AxisError(", ".join(absent), "unknown vector group", "Groups are: " + (", ".join(groups) or "none"))
+            raise VectorGroupError(", ".join(absent), "unknown vector group", "Groups are: " + (", ".join(groups) or "none"))
         groups = {k: groups[k] for k in vector_groups}
     if not groups:
-        raise AxisError("rotate", "there is no vector group", "Declare one with declare_vector, or name variables FX, FY, FZ")
+        raise VectorGroupError("rotate", "there is no vector group", "Declare one with declare_vector, or name variables FX, FY, FZ")
     todo = {k: g for k, g in groups.items() if g.axis != target_axis}
     to, to_slopes = _matrix(grid, target)
     new: dict[str, Column] = {}
@@ -350,20 +350,20 @@ def translate_moments(grid: Grid, to_point: object, from_point: object, axis: st
             known = KNOWN_GROUPS[what]
             found = [(k, g) for k, g in groups.items() if k == what or g.components == known]
             if not found:
-                raise AxisError(what, f"no group of {', '.join(known)}", f"Pass {what}= with the name of a declared group")
+                raise VectorGroupError(what, f"no group of {', '.join(known)}", f"Pass {what}= with the name of a declared group")
             return found[0]
         if name not in groups:
-            raise AxisError(name, "unknown vector group", "Groups are: " + (", ".join(groups) or "none"))
+            raise VectorGroupError(name, "unknown vector group", "Groups are: " + (", ".join(groups) or "none"))
         return name, groups[name]
 
     force_name, f = pick(force, "force")
     moment_name, m = pick(moment, "moment")
     if force_name == moment_name:
-        raise AxisError(force_name, "is both force and moment", "Name two groups")
+        raise VectorGroupError(force_name, "is both force and moment", "Name two groups")
     if f.axis != m.axis:
-        raise AxisError(f"{force_name}, {moment_name}", f"are in axes {f.axis} and {m.axis}", "Rotate both to one axis")
+        raise VectorGroupError(f"{force_name}, {moment_name}", f"are in axes {f.axis} and {m.axis}", "Rotate both to one axis")
     if axis is not None and axis != f.axis:
-        raise AxisError(axis, f"the groups are in {f.axis}", "State their axis or rotate them")
+        raise VectorGroupError(axis, f"the groups are in {f.axis}", "State their axis or rotate them")
     to, at = _point(to_point, "to_point"), _point(from_point if from_point is not None else (0.0, 0.0, 0.0), "from_point")
     r1, r2, r3 = (a - b for a, b in zip(at, to, strict=True))
     s = [[0.0, -r3, r2], [r3, 0.0, -r1], [-r2, r1, 0.0]]

@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import DegreeError, DimensionError, GridError, VariableError
+from ..errors import AxisTranslationError, DegreeError, DimensionError, GridError, VariableError
 from ..functions import numeric as n
 from ..grid import Dim, Grid, as_coordinates, col, no_default, tag, u_rand, u_sys
 from .linear import apply_weights, cubic_weights, linear_weights, nearest_weights, pandas_cells, polynomial_weights
@@ -97,7 +97,7 @@ def _translate(grid: Grid, mapping: Mapping[str, object] | None, method: str, de
     d = grid.dim(name, numeric=True)
     spec = grid.var(to)
     if to in grid.dim_names:
-        raise VariableError(to, "is a dimension", "Name a variable")
+        raise AxisTranslationError(to, "is a dimension", "Name a variable")
     number = _check(grid, name, method, deg)
     rest = [x for x in grid.dim_names if x != name]
     line = (Window.partitionBy(*map(col, rest)) if rest else Window.partitionBy(F.lit(0))).orderBy(grid.ordinal(name))
@@ -106,7 +106,7 @@ def _translate(grid: Grid, mapping: Mapping[str, object] | None, method: str, de
     per_line_rows = (steps.groupBy(*map(col, rest)) if rest else steps.groupBy()).agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.max("bad").alias("bad"), F.count("one").alias("points"))
     row = per_line_rows.agg(F.max(F.col("bad") | (F.coalesce(F.col("lo"), F.lit(1)) * F.coalesce(F.col("hi"), F.lit(1)) <= 0) | (F.col("points") < len(d))).alias("wrong")).first()
     if row["wrong"] or row["wrong"] is None:
-        raise VariableError(to, f"is not finite and strictly monotonic along {name} in every line", "Fill or select before, or choose another variable")
+        raise AxisTranslationError(to, f"is not finite and strictly monotonic along {name} in every line", "Fill or select before, or choose another variable")
     if mapping and to in mapping:
         targets = as_coordinates(mapping[to], to)
     elif mapping:

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..errors import CorrelationError, DataError, UncertaintyError
+from ..errors import CorrelationError, CorrelationKeyError, DataError, UncertaintyError
 from ..functions import numeric as n
 from ..grid import Grid, col, u_rand, u_sys
 
@@ -70,7 +70,7 @@ def set_correlation(grid: Grid, spec: Mapping[tuple[str, str], float]) -> Grid:
         a, b = sorted(pair)
         grid.var(a), grid.var(b)
         if a == b:
-            raise CorrelationError(a, "is correlated with itself by definition", "Name two variables")
+            raise CorrelationKeyError(a, "is correlated with itself by definition", "Name two variables")
         if not (isinstance(r, int | float) and math.isfinite(r) and abs(r) <= 1):
             raise CorrelationError(f"{a}, {b}", f"{r!r} is not a coefficient", "Use a number from -1 to 1")
         if (a, b) in store and store[a, b] != r:

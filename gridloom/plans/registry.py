@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Protocol, runtime_checkable
 
-from ..errors import RegistryError
+from ..errors import ProcessorNotFoundError, RegistryError
 
 
 @runtime_checkable
@@ -38,7 +38,7 @@ def registered_processors() -> list[str]:
 
 def make_processor(name: str, config) -> Processor:
     if name not in _processors:
-        raise RegistryError(name, "no such processor", "Registered are: " + (", ".join(sorted(_processors)) or "none; pass the path of an equation file"))
+        raise ProcessorNotFoundError(name, "no such processor", "Registered are: " + (", ".join(sorted(_processors)) or "none; pass the path of an equation file"))
     made = _processors[name](config=config) if config else _processors[name]()
     if not isinstance(made, Processor):
         raise RegistryError(name, "its constructor gave no processor", "It needs name, version, validate, info and a call")

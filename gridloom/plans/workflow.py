@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from ..errors import EquationError, WorkflowError
+from ..errors import EquationError, WorkflowCycleError, WorkflowError, WorkflowFileError
 from ..functions.expressions import CONSTANTS, parse, references
 
 SECTIONS = ("meta", "constants", "uncertainties", "equations", "corrections")
@@ -49,40 +49,40 @@ def parse_equation_file(path, auto_sort: bool = False) -> Spec:
     try:
         body = tomllib.loads(path.read_text(encoding="utf-8"))
     except (OSError, tomllib.TOMLDecodeError, UnicodeDecodeError) as error:
-        raise WorkflowError(str(path), f"cannot be read ({error})", "Pass a TOML file") from error
+        raise WorkflowFileError(str(path), f"cannot be read ({error})", "Pass a TOML file") from error
     unknown = [k for k in body if k not in SECTIONS]
     if unknown:
-        raise WorkflowError(path.name, f"unknown sections {unknown}", "Sections are: " + ", ".join(SECTIONS))
+        raise WorkflowFileError(path.name, f"unknown sections {unknown}", "Sections are: " + ", ".join(SECTIONS))
     if not isinstance(body.get("meta"), dict):
-        raise WorkflowError(path.name, "has no [meta] section", "Add one with name and version")
+        raise WorkflowFileError(path.name, "has no [meta] section", "Add one with name and version")
     for k, x in body["meta"].items():
         if k == "idempotent" and not isinstance(x, bool) or k != "idempotent" and not isinstance(x, str):
-            raise WorkflowError(f"meta.{k}", f"{x!r}", "meta holds strings and the boolean idempotent")
+            raise WorkflowFileError(f"meta.{k}", f"{x!r}", "meta holds strings and the boolean idempotent")
     constants = body.get("constants", {})
     for k, x in constants.items():
         if isinstance(x, bool) or not isinstance(x, int | float) or not math.isfinite(x):
-            raise WorkflowError(f"constants.{k}", f"{x!r} is no finite number", "Constants are numbers")
+            raise WorkflowFileError(f"constants.{k}", f"{x!r} is no finite number", "Constants are numbers")
         if k in CONSTANTS or not k.isidentifier():
-            raise WorkflowError(f"constants.{k}", "the name is reserved or no identifier", "Choose another name")
+            raise WorkflowFileError(f"constants.{k}", "the name is reserved or no identifier", "Choose another name")
     uncertainties = body.get("uncertainties", {})
     for k, x in uncertainties.items():
         if isinstance(x, bool) or not (isinstance(x, int | float) or isinstance(x, str) and re.fullmatch(r"\s*\d+(\.\d*)?\s*%\s*", x)):
-            raise WorkflowError(f"uncertainties.{k}", f"{x!r}", "Pass a number or 'x%'")
+            raise WorkflowFileError(f"uncertainties.{k}", f"{x!r}", "Pass a number or 'x%'")
     lines: list[Line] = []
     for section in ("equations", "corrections"):
         own: list[Line] = []
         for target, text in body.get(section, {}).items():
             if not isinstance(text, str) or not target.isidentifier():
-                raise WorkflowError(f"{section}.{target}", f"{text!r} is no equation", "Write NAME = \"expression\"")
+                raise WorkflowFileError(f"{section}.{target}", f"{text!r} is no equation", "Write NAME = \"expression\"")
             if target in constants:
-                raise WorkflowError(f"{section}.{target}", "is a constant", "Choose another name")
+                raise WorkflowFileError(f"{section}.{target}", "is a constant", "Choose another name")
             names = _names(text) - set(CONSTANTS) - {"np"}
             calls = {x.func.id for x in ast.walk(ast.parse(text.strip(), mode="eval")) if isinstance(x, ast.Call) and isinstance(x.func, ast.Name)}
             tree = parse(text, names - calls)  # the converter that compute uses
             own.append(Line(target, text, section, references(tree) - set(constants)))
         lines += _ordered(own, section, auto_sort, path.name)
     if not lines:
-        raise WorkflowError(path.name, "has no equation", "Add an [equations] section")
+        raise WorkflowFileError(path.name, "has no equation", "Add an [equations] section")
     return Spec(path, body["meta"], {k: float(x) for k, x in constants.items()}, uncertainties, tuple(lines), auto_sort)
 
 
@@ -95,14 +95,14 @@ def _ordered(lines: list[Line], section: str, auto_sort: bool, what: str) -> lis
         ready = [i for i in range(len(lines)) if i not in done and needs[i] <= set(done)]
         if not ready:
             left = [lines[i].target for i in range(len(lines)) if i not in done]
-            raise WorkflowError(f"{what} [{section}]", f"equations need each other: {', '.join(left)}", "Break the cycle")
+            raise WorkflowCycleError(f"{what} [{section}]", f"equations need each other: {', '.join(left)}", "Break the cycle")
         done.append(ready[0])
     if auto_sort:
         return [lines[i] for i in done]
     for i, x in enumerate(lines):
         later = [lines[j].target for j in needs[i] if j > i]
         if later:
-            raise WorkflowError(f"{section}.{x.target}", f"reads {', '.join(later)} before it is made", "Reorder the lines or pass auto_sort=True")
+            raise WorkflowFileError(f"{section}.{x.target}", f"reads {', '.join(later)} before it is made", "Reorder the lines or pass auto_sort=True")
     return lines
 
 
