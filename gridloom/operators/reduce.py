@@ -58,10 +58,27 @@ def average(grid: Grid, along: str | Sequence[str]) -> Grid:
             aggregates.append(F.coalesce(n.root_sum_squares(col(u_rand(v)), has) / count, n.lit(0)).alias(u_rand(v)))
         if s.tagged:
             aggregates.append(n.worst_tag(col(tag(v)), has).alias(tag(v)))
-    # A line without any value has uncertainty 0, so such lines need a row where u is carried.
-    source = grid.densified() if grid.uncertain else grid
-    out, cells = _grouped(source, names, aggregates)
-    return replace(out, cells=cells, dense=source.dense or not out.dim_names, vars={v: replace(s, absent_tag=0) for v, s in grid.vars.items()})
+    out, cells = _grouped(grid, names, aggregates)
+    dense = grid.dense or not out.dim_names
+    if grid.uncertain and not dense:
+        # A line without any value has uncertainty 0, so such lines get a row where u is carried.
+        cells, dense = _every_line(out, cells, grid), True
+    return replace(out, cells=cells, dense=dense, vars={v: replace(s, absent_tag=0) for v, s in grid.vars.items()})
+
+
+def _every_line(out: Grid, cells: DataFrame, grid: Grid) -> DataFrame:
+    """A row for every cell of the result: what the aggregate has, or else no value without uncertainty."""
+    frame = None
+    for x in out.dim_names:
+        table = F.broadcast(out.coordinate_table(x).drop("__ordinal"))
+        frame = table if frame is None else frame.crossJoin(table)
+    columns = [*map(col, out.dim_names)]
+    for v, s in grid.vars.items():
+        columns.append(n.or_nan(col(v)).alias(v))
+        columns += [F.coalesce(col(c), n.lit(0)).alias(c) for c, has in ((u_sys(v), s.sys), (u_rand(v), s.rand)) if has]
+        if s.tagged:
+            columns.append(F.coalesce(col(tag(v)), F.lit(0).cast("byte")).alias(tag(v)))
+    return frame.join(cells, out.dim_names, "left").select(*columns)
 
 
 def trapezoid(x: Sequence[float]) -> np.ndarray:

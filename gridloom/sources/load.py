@@ -53,7 +53,7 @@ def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             text = bytes(content).decode("utf-8-sig")
             lines = text.splitlines(keepends=True)
             start = 0
-            while start < len(lines) and (lines[start].startswith("#") or not lines[start].strip()):
+            while start < len(lines) and (not lines[start].strip() or lines[start].lstrip().startswith("#")):
                 start += 1
             records = csv.reader(io.StringIO("".join(lines[start:]), newline=""))
             header = [h.strip() for h in next(records, [])]
