@@ -1,8 +1,8 @@
 """Line deduplication with a log-template tree.
 
 A line is its lower-case tokens between white space; a token with a digit is a variable
-field, but in lines of fewer than ``SHORT`` tokens, which only share a template when they are
-equal. The tree has fixed depth: token count, then ``depth`` leading tokens. Lines that reach
+field, but in lines of fewer than ``SHORT`` tokens, or with digits in more than half of them (rows
+of numbers), which only share a template when they are equal. The tree has fixed depth: token count, then ``depth`` leading tokens. Lines that reach
 one leaf are merged into a template where at least ``similarity`` of their tokens agree, the
 others becoming variable fields, too. A template that recurs in ``min_docs`` different texts
 is dropped, but for the document with the smallest doc_id, which keeps its lines. Copies of a
@@ -66,7 +66,11 @@ class Lines:
         line = np.searchsorted(ends, begin)
         change = np.flatnonzero(np.diff(line, prepend=-1))
         count = np.diff(np.append(change, len(line)))
-        tokens[(np.asarray(digits, dtype=np.int64) > 0) & (np.repeat(count, count) >= SHORT)] = _VARIABLE
+        varies = np.asarray(digits, dtype=np.int64) > 0
+        if len(change):
+            # A line that would be mostly variable has no constant part to share: it stands as it is.
+            shares = (count >= SHORT) & (2 * np.add.reduceat(varies, change, dtype=np.int64) <= count)
+            tokens[varies & np.repeat(shares, count)] = _VARIABLE
         at = np.arange(len(line)) - np.repeat(change, count)
         placed = mix64(tokens + at.astype(np.uint64) * _STEP)
         size = mix64(count.astype(np.uint64))

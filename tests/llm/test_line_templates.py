@@ -9,7 +9,11 @@ def brute(rows, min_docs=5, depth=4, similarity=0.85, min_tokens=3):
     """The template tree in plain Python: (doc_id, n_dropped, text)."""
 
     def tokens(line):
-        return tuple("<*>" if any(c in "0123456789" for c in t) else t for t in line.lower().split())
+        found = line.lower().split()
+        digits = [any(c in "0123456789" for c in t) for t in found]
+        if len(found) < 3 or 2 * sum(digits) > len(found):
+            return tuple(found)
+        return tuple("<*>" if d else t for t, d in zip(found, digits, strict=True))
 
     seen = {}
     for i, t in rows:
@@ -64,6 +68,8 @@ def rows_of(rng):
             lines.insert(rng.randrange(len(lines) + 1), f"Posted on {rng.randrange(30)} May {1990 + i} by the staff")
         if i % 4 == 0:
             lines.append("All  rights reserved.")
+        if i % 2 == 0:
+            lines.append(f"{i} 7 {i * i} of 9 {i % 4}")
         if i % 7 == 0:
             lines.append(f"The whole team of reporters in the north wishes you a very fine {lines[0].split()[0]} today")
         if i % 5 == 0:

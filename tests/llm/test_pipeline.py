@@ -56,3 +56,27 @@ def test_run_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5 and public_tokenizers
+
+
+def test_stages_take_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(5)
+    own = [" ".join("u" + "".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(30)) for _ in range(8)]
+    rows = [(1, own[0], None, None, None), (None, own[1], "en", "a", 3), (None, own[2], "en", "a", 3), (None, own[2], "en", "a", 3), (7, own[3], "en", "a", 3), (7, own[4], "en", "b", 3)]
+    rows += [(8, None, None, None, None), (9, "", "en", "a", 0), (10, " ".join(own[5:] * 900), "en", None, 5), (11, own[0].upper(), "en", "b", 3)]
+    rows = [(*r, f"x{k}", k, "y", None) for k, r in enumerate(rows)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `row` string, `doc` int, `gone_id` string, `n_dropped` int"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (7, None, None), (None, 1, 1), (7, 0, 0), (8, 1, 0), (9, 0, 0), (10, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns, left = docs.columns, {}
+    for k, (name, function) in enumerate(corpus_pipeline.STAGES):
+        docs = function(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        left[name] = docs.collect()
+        if name != "best-fit packing":
+            assert docs.columns == columns
+    assert len(left["line dedup"]) == 10
+    kept = {r.text for r in left["n-gram Jaccard join"]}
+    assert {own[0], own[1], own[2], own[3], own[4], None, ""} < kept and len(left["n-gram Jaccard join"]) == 8
+    assert len(left["best-fit packing"]) >= len(left["mixing sources to target weights"]) > 0
