@@ -11,8 +11,8 @@ Packing works on the count of pieces of each length. The longest open piece is c
 every undominated filling of what it leaves, of any number of pieces, made one at a time and
 least waste first; branches whose waste rules out fewer bins than the incumbent are cut, as is
 the search once the incumbent meets the lower bound. Best-fit decreasing and dives, which take
-of the fillings near the least waste the one with fewest pieces, give the incumbents. ``nodes``
-bounds the steps of the search in a group; what it has found by then is a whole packing.
+of the fillings near the least waste the one with fewest pieces, give the incumbents. The steps
+of the search in a group are bounded; what it has found by then is a whole packing.
 
 Defined results: a null text is the empty text and gives one piece that holds the end token;
 repeated rows are packed as often as they occur; an empty table gives an empty result; other
@@ -114,14 +114,13 @@ def reachable(free: int, lengths: list[int], counts: dict[int, int]) -> list[int
 
 
 class _Fillings:
-    """Undominated fillings of one bin; ``steps`` counts the choices tried."""
+    """Undominated fillings of one bin, or as many as are found within the choices that ``left`` holds."""
 
-    def __init__(self, free: int, lengths: list[int], counts: dict[int, int]) -> None:
-        self.free, self.lengths, self.counts = free, lengths, counts
+    def __init__(self, free: int, lengths: list[int], counts: dict[int, int], left: list[float]) -> None:
+        self.free, self.lengths, self.counts, self.left = free, lengths, counts, left
         self.masks = reachable(free, lengths, counts)
         self.open = sum(1 << a for a in lengths)
         self.used: Counter = Counter()
-        self.steps = 0
 
     def of(self, total: int, i: int, one: int, more: int) -> Iterator[tuple[int, ...]]:
         """Sets of pieces among the i shortest lengths that sum to ``total``, longest pieces first.
@@ -135,7 +134,9 @@ class _Fillings:
             i -= 1
             a = self.lengths[i]
             for c in range(min(self.counts[a], total // a), 0, -1):
-                self.steps += 1
+                self.left[0] -= 1
+                if self.left[0] < 0:
+                    return
                 if not self.masks[i] >> (total - c * a) & 1:
                     continue
                 now, sums = one, more
@@ -166,8 +167,10 @@ class _Fillings:
                 yield filling
 
 
-def completions(free: int, lengths: list[int], counts: dict[int, int], most_waste: int | None = None) -> Iterator[tuple[int, ...]]:
-    """All undominated fillings of ``free``, least waste first.
+def completions(
+    free: int, lengths: list[int], counts: dict[int, int], most_waste: int | None = None, left: list[float] | None = None
+) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of ``free``, least waste first; fewer if ``left``, a number of choices that is counted down, ends.
 
     A piece that could stand for several of a filling's pieces dominates it, since the shorter
     ones can replace it later; so does any larger filling of the same pieces. A single piece
@@ -185,7 +188,8 @@ def completions(free: int, lengths: list[int], counts: dict[int, int], most_wast
     for a in reversed(lengths[bisect.bisect_left(lengths, (free + 1) // 2) : hi]):
         if counts.get(free - a, 0) > (2 * a == free):
             yield (a, free - a)
-    found = _Fillings(free, lengths[:hi], counts)
+    left = [math.inf] if left is None else left
+    found = _Fillings(free, lengths[:hi], counts, left)
     for waste in range(min(free, free if most_waste is None else most_waste) + 1):
         if found.masks[-1] >> (free - waste) & 1:
             yield from (f for f in found.largest(waste) if waste or len(f) != 2)
@@ -248,8 +252,8 @@ def _dive(lengths: list[int], counts: dict[int, int], capacity: int, slack: int)
         if at and free - alive[at - 1] <= slack:
             filling: tuple[int, ...] = (alive[at - 1],)
         else:
-            fillings = completions(free, alive, counts)
-            found = [next(fillings)]
+            fillings = completions(free, alive, counts, None, [5_000])
+            found = [next(fillings, (alive[at - 1],) if at else ())]
             most = sum(found[0])
             if len(found[0]) != 2 or most < free:
                 found += itertools.islice(fillings, 5)
@@ -260,8 +264,8 @@ def _dive(lengths: list[int], counts: dict[int, int], capacity: int, slack: int)
     return bins
 
 
-def pack_lengths(lengths: np.ndarray, capacity: int, nodes: int = 2_000, slacks: tuple[int, ...] = (1, 2, 4)) -> list[list[int]]:
-    """Bins (lists of lengths) as few as the search finds within ``nodes`` completions and one dive.
+def pack_lengths(lengths: np.ndarray, capacity: int, nodes: int = 2_000, slacks: tuple[int, ...] = (1, 2, 4), choices: int = 300_000) -> list[list[int]]:
+    """Bins (lists of lengths) as few as the search finds within one dive, ``nodes`` completions and ``choices`` pieces tried.
 
     Best-fit decreasing and dives with some slack give the incumbent of the exact search.
     """
@@ -293,12 +297,12 @@ def pack_lengths(lengths: np.ndarray, capacity: int, nodes: int = 2_000, slacks:
     # Depth first without recursion. A frame is a bin and which of its fillings it is; coming
     # back to it, the fillings are made again up to there, so that a frame stays small.
     frames: list[tuple[list[int], int]] = []
-    waste, spent, tried = 0, 0, 0
+    waste, spent, tried, left = 0, 0, 0, [float(choices)]
     while True:
         longest = alive[-1]
         take(longest)
         allowed = (len(best) - 1) * capacity - total - waste  # waste that still saves a bin
-        filling = next(itertools.islice(completions(capacity - longest, alive, counts, allowed), tried, None), None) if allowed >= 0 else None
+        filling = next(itertools.islice(completions(capacity - longest, alive, counts, allowed, left), tried, None), None) if allowed >= 0 else None
         spent += 1
         if filling is not None:
             for n in filling:
@@ -313,7 +317,7 @@ def pack_lengths(lengths: np.ndarray, capacity: int, nodes: int = 2_000, slacks:
                 break
         else:
             put(longest)
-        if spent >= nodes + len(best) or not frames:
+        if spent >= nodes + len(best) or left[0] < 0 or not frames:
             break
         bin_, tried = frames.pop()
         tried += 1
