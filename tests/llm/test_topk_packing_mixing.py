@@ -48,6 +48,40 @@ def test_threshold_algorithm_stops_early():
     assert ids.tolist() == [17, 99] and scores.tolist() == [4500, 4000] and scored < 100
 
 
+def shuffled_bytes(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_queries_are_not_copied_to_every_block(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 0.3) for _ in range(64)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    before = shuffled_bytes(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are too large for it
+    try:
+        got = sorted(tuple(r) for r in top_inner_products(df, every=1, block=10).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == brute_topk(rows, 1, 5)
+    assert shuffled_bytes(spark) - before < 1_000_000  # the vectors themselves are 0.15 MB
+
+
+@pytest.mark.parametrize("size", [0.4, 2e4, 1e6])
+def test_topk_over_cells_with_ties_and_copies(spark, monkeypatch, size):
+    monkeypatch.setattr("gridloom.llm.topk.CELL_BYTES", 2000)
+    monkeypatch.setattr("gridloom.llm.topk.CELL_PAIRS", 1000)
+    rng = random.Random(7)
+    rows = [(i, [rng.choice([-size, 0.0, size / 3, rng.uniform(-size, size)]) for _ in range(6)]) for i in range(150)]
+    rows += [(150 + i, rows[3][1]) for i in range(60)] + [(211, rows[7][1])] * 20 + [(212, rows[8][1])] * 20 + [(i, [0.0] * 6) for i in range(220, 230)] + [(i, [size] * 3) for i in range(230, 240)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    got = sorted(tuple(r) for r in top_inner_products(df, every=2, block=30, query_block=7).collect())
+    assert got == brute_topk(rows, 2, 5)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 63), max_size=60))
 def test_bins_hold_every_piece(lengths):
