@@ -51,6 +51,10 @@ class SelectionError(GridError):
     """A selection that names or leaves nothing."""
 
 
+class EmptySelectionError(SelectionError):
+    """Conditions on values that no cell fits."""
+
+
 class CombineError(GridError):
     """Two grids that do not line up."""
 

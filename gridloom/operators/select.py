@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..errors import DataError, DimensionError, NonNumericDimensionError, SelectionError, UncertaintyError
+from ..errors import DataError, DimensionError, EmptySelectionError, NonNumericDimensionError, SelectionError, UncertaintyError
 from ..functions import numeric as n
 from ..grid import Dim, Grid, col, u_rand, u_sys
 from .reshape import without_dims
@@ -98,12 +98,12 @@ def select(grid: Grid, filters: Mapping[str, object], frame: str) -> Grid:
     if grid.is_datapoint:
         total, left = out.cells.agg(F.count(F.lit(1)), F.count(F.when(match, 1))).first()
         if not left:
-            raise SelectionError(", ".join(filters), "no datapoint satisfies the condition", "Relax it")
+            raise EmptySelectionError(", ".join(filters), "no datapoint satisfies the condition", "Relax it")
         return replace(out, cells=live, note=f"masked={total - left}")
     names = out.dim_names
     found = live.agg(F.count(F.lit(1)).alias("cells"), *[F.collect_set(col(x)).alias(x) for x in names]).first()
     if not found["cells"]:
-        raise SelectionError(", ".join(filters), "every cell is masked", "Relax the condition")
+        raise EmptySelectionError(", ".join(filters), "every cell is masked", "Relax the condition")
     dims = tuple(replace(d, coords=tuple(c for c in d.coords if c in set(found[d.name]))) for d in out.dimensions)
     masked = out.expected_cells() - found["cells"]
     if any(s.tagged for s in out.vars.values()):  # masked cells keep their tags, and so their rows

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import Axis, Grid, concat, load
+from .errors import EmptySelectionError
 from .functions.units import convert
 from .grid import col, tag, u_rand, u_sys
 from .plans.workflow import processor
@@ -196,7 +197,12 @@ def squeeze_dim(spark, sf):
 
 @query(_f1("SELECT yr, mo, flag, status, round(qty, 6) AS qty, round(price, 6) AS price FROM f1 WHERE qty > 25.5 AND price < 52000"))
 def select_mask_vars(spark, sf):
-    return rows(shipments(spark, sf).select({"qty >": 25.5, "price <": 52000}), "qty", "price")
+    g = shipments(spark, sf)
+    try:
+        g = g.select({"qty >": 25.5, "price <": 52000})
+    except EmptySelectionError:  # no grid is left, and SQL gives no rows
+        return rows(g, "qty", "price").where(F.lit(False))
+    return rows(g, "qty", "price")
 
 
 @query(_f1("SELECT yr, mo, flag, status, round(price, 6) AS price FROM f1 WHERE sqrt(pow(abs(price) * 0.05, 2) + 100.0 * 100.0) > 1900"))

@@ -91,6 +91,17 @@ def test_select_masks_values(table):
     assert table.compute("q = CT").select({"CT >": 0.13}).vars["q"].tagged
 
 
+def test_select_tells_an_empty_result_from_a_bad_filter(table):
+    raw = gl.load(np.array([[0.0, 1.0], [1.0, 2.0]]), names=["a", "v"])
+    for empty in (lambda: table.select({"CT >": 9}), lambda: table.select({"CT >": 0.13, "CT <": 0.11}), lambda: raw.select({"v >": 9})):
+        with pytest.raises(er.EmptySelectionError):
+            empty()
+    for bad in ({"beta": 1}, {"CT >": "x"}, {"CT >": [1, 2]}, {}):
+        with pytest.raises(er.SelectionError) as refused:
+            table.select(bad)
+        assert not isinstance(refused.value, er.EmptySelectionError)
+
+
 def test_select_other_frames(table):
     g = table.set_uncertainty({"CT": "10%"}).set_uncertainty({"CT": 0.0}, component="random")
     close(values(g.select({"CT >": 0.015}, Frame="UncFrame")), [[0.2, 0.22, 0.24]])

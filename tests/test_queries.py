@@ -24,6 +24,18 @@ def test_query_without_sql_gives_rows(spark, name):
     assert QUERIES[name](spark, str(oracle.FOLDER)).count() > 0
 
 
+def test_select_mask_vars_gives_no_rows_where_no_cell_fits(spark, tmp_path):
+    # The first group has the quantity, the second the price, none has both.
+    lines = spark.sql(
+        """SELECT * FROM VALUES (26.0D, 53000.0D, 'A', TIMESTAMP_NTZ'1995-03-04'), (25.0D, 51000.0D, 'R', TIMESTAMP_NTZ'1996-05-06')
+        AS t(l_quantity, l_extendedprice, l_returnflag, l_shipdate)"""
+    ).selectExpr("*", "0.04D AS l_discount", "0.02D AS l_tax", "'F' AS l_linestatus")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = oracle.spark_rows(QUERIES["select_mask_vars"](spark, str(tmp_path)))
+    assert found == oracle.sql_rows(oracle.connect(tmp_path), SQL["select_mask_vars"]) and not found[1]
+    assert QUERIES["select_mask_vars"](spark, str(tmp_path)).dtypes == QUERIES["select_mask_vars"](spark, str(oracle.FOLDER)).dtypes
+
+
 def test_entry_serves_them(spark):
     import __spark_entry__ as entry
 
